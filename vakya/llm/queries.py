@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, url_filter
+from . import bpe, media, packing, quality, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_corpus(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode_corpus(encoded, ranks)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the document that the last number of their path names."""
     number = F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*[^?#]*?([0-9]{1,18})[^0-9?#]*(?:[?#]|$)', 1) as bigint)")
@@ -38,6 +50,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_media_columns": op3_media_columns,
     "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_url_filters": op9_url_filters,
 }
 
