@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, url_filter
+from . import bpe, line_dedup, media, near_dup, packing, quality, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Plan(words=3, percent=85))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_payload(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     found = media.sniff_media(stored, ["doc_id", "n_bytes"])
@@ -35,6 +39,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+
+
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the document that the last number of their path names."""
     number = F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*[^?#]*?([0-9]{1,18})[^0-9?#]*(?:[?#]|$)', 1) as bigint)")
@@ -48,11 +56,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_media_columns": op3_media_columns,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_url_filters": op9_url_filters,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
