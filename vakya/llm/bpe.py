@@ -22,7 +22,7 @@ from .common import small_batches, strings
 from .pieces import PieceIndex
 
 #: Text bytes that are encoded together; a longer text is encoded whole.
-PART_BYTES = 24 << 20
+PART_BYTES = 6 << 20
 #: Up to so many positions are merged one by one.
 FEW = 12
 
@@ -63,21 +63,13 @@ class MergeTable:
             self.values[at] = [pairs[k] for k in left[first].tolist()]
             rest = self.slots[place] != left
             left, place = left[rest], (place[rest] + 1) & ((1 << self.bits) - 1)
-        size = max(ranks.values()) + 1
-        self.token_start = np.zeros(size, np.int64)
-        self.token_length = np.zeros(size, np.int64)
-        self.token_bytes = np.frombuffer(b"".join(ranks), np.uint8)
-        at = 0
-        for token, rank in ranks.items():
-            self.token_start[rank], self.token_length[rank] = at, len(token)
-            at += len(token)
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a << 32 | b
+        keys = a.astype(np.int64) << 32 | b
         place = self._place(keys)
         found = np.full(len(keys), self.none, np.int64)
         todo = np.arange(len(keys))
@@ -109,13 +101,13 @@ class MergeTable:
         n = int(sizes.sum())
         if not n:
             return np.empty(0, np.int64), sizes
-        token = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        token = self.byte_id[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         last = np.cumsum(sizes) - 1
         after[last] = -1
         before[last[:-1] + 1] = -1
-        rank = np.full(n, self.none, np.int64)
+        rank = np.full(n, self.none, np.int32)
         inner = np.flatnonzero(after >= 0)
         rank[inner] = self.pair_ranks(token[inner], token[inner + 1])
         index: dict[int, list[np.ndarray]] = {}
@@ -140,7 +132,7 @@ class MergeTable:
                     heapq.heappush(heap, r)
                 index[r].append(np.array([place]))
 
-        enter(rank, np.arange(n))
+        enter(rank, np.arange(n, dtype=np.int32))
         none, pairs = self.none, self.pairs
         while heap:
             r = heapq.heappop(heap)
@@ -193,9 +185,21 @@ class MergeTable:
         alive = token >= 0
         return token[alive], np.bincount(word[alive], minlength=len(words))
 
+
+class TokenBytes:
+    """The bytes of each token."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        size = max(ranks.values()) + 1
+        self.start, self.length = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.data = np.frombuffer(b"".join(ranks), np.uint8)
+        at = 0
+        for token, rank in ranks.items():
+            self.start[rank], self.length[rank] = at, len(token)
+            at += len(token)
+
     def decode(self, ids: np.ndarray) -> bytes:
-        lengths = self.token_length[ids]
-        return self.token_bytes[spread(self.token_start[ids], lengths)].tobytes()
+        return self.data[spread(self.start[ids], self.length[ids])].tobytes()
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -266,9 +270,9 @@ def decode_corpus(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -
     kind = dict(encoded.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = MergeTable(read_ranks(data.value))
+        tokens = TokenBytes(read_ranks(data.value))
         for batch in batches:
-            found = [merges.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
+            found = [tokens.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], [id_col, "ids", "data"])
 
     return encoded.select(F.col(id_col), F.col("ids")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, data binary")
