@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, katz, line_dedup, media, near_dup, packing, quality, url_filter
+from . import bpe, html_text, katz, license_scan, line_dedup, media, near_dup, packing, quality, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.Plan(words=3, percent=85))
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/language/thousand/id.txt."""
+    shard = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), shard, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_payload(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     found = media.sniff_media(stored, ["doc_id", "n_bytes"])
@@ -65,6 +72,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_license_scans": op2_license_scans,
     "op3_media_columns": op3_media_columns,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
