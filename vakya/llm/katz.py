@@ -163,7 +163,7 @@ def blocks(docs: DataFrame, hot: dict[int, int], buckets: int) -> DataFrame:
                 words = tokens(text)
                 if len(known) > WORDS_REMEMBERED:
                     known.clear()
-                for x in set(words) - known.keys():
+                for x in set(words).difference(known):
                     known[x] = xxhash.xxh3_64_intdigest(x)
                 ids.append(doc)
                 texts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))

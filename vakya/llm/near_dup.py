@@ -85,7 +85,7 @@ class Shingler:
         known = self.known
         if len(known) > WORDS_REMEMBERED:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.words, len(h))

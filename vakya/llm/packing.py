@@ -115,7 +115,7 @@ class PieceCache:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         parts = [cut(x) for x in texts]
-        new = set().union(*(t for _, t in parts)) - self.rest.keys()
+        new = set().union(*(t for _, t in parts)).difference(self.rest)
         if len(new) + len(self.rest) > CACHE:
             self.rest.clear()
             new = set().union(*(t for _, t in parts))
