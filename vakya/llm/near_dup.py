@@ -165,40 +165,62 @@ def likely(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on full sets. The set of a leader with many pairs is dealt out to several groups."""
-    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("groups"))
-    dealt = pairs.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")))
-    leaders = fans.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("salt"), F.col("shingles").alias("set_a"))
-    wide = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(leaders, ["a", "salt"]).select("a", "b", "set_a", "set_b")
+    """The pairs (u, v) of ``pairs(a, b)`` that reach the threshold on full sets.
+
+    Each set is sent once to each group it is needed in: a leader's to the groups of its pairs, of which there are as
+    many as keep a group small, a member's to the group of its pair. A task streams its groups, leader first.
+    """
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("groups"))
+    members = pairs.join(fans, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"), F.lit(1).alias("role"))
+    leaders = fans.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"))
+    wanted = written(leaders.unionByName(members))
+    dealt = sets.join(broadcast_if_small(wanted, BROADCAST_ROWS), "node").select("a", "salt", "role", "node", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lead = None, []
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= plan.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    return wide.mapInArrow(run, "u long, v long")
+            u, v = [], []
+            for a, salt, role, node, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                found = np.frombuffer(data.as_buffer(), "<u8").copy()
+                if group != (a, salt):
+                    group, lead = (a, salt), []
+                if role == 0:
+                    lead.append(found)
+                    continue
+                for x in lead:
+                    both = len(np.intersect1d(x, found, assume_unique=True))
+                    if 100 * both >= plan.percent * (len(x) + len(found) - both):
+                        u.append(a)
+                        v.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "u long, v long")
+
+
+def side_arrays(column: pa.Array, values: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, nodes, components, signatures) of a list column of (node, comp, sig)."""
+    inner = column.flatten()
+    offsets = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+    sig = np.frombuffer(b"".join(inner.field("sig").to_pylist()), "<u2").reshape(-1, values)
+    return offsets, inner.field("node").to_numpy(), inner.field("comp").to_numpy(), sig
 
 
 def cross_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) within (band, i, j) groups of ``left`` and ``right`` classes that are in different components and look alike."""
+    """Pairs (a, b) of a ``left`` and a ``right`` class of one row that are in different components and look alike."""
     least = plan.least_estimate * plan.values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                node = [np.array([x["node"] for x in side]) for side in (left, right)]
-                comp = [np.array([x["comp"] for x in side]) for side in (left, right)]
-                sig = [np.frombuffer(b"".join(x["sig"] for x in side), "<u2").reshape(len(side), -1) for side in (left, right)]
-                for k in range(len(left)):
-                    near = (sig[1] == sig[0][k]).sum(1) >= least
-                    near &= (comp[1] != comp[0][k]) & (node[1] != node[0][k])
-                    a.append(np.full(near.sum(), node[0][k]))
-                    b.append(node[1][near])
+            left_at, left, left_comp, left_sig = side_arrays(batch.column(0), plan.values)
+            right_at, right, right_comp, right_sig = side_arrays(batch.column(1), plan.values)
+            for i in range(batch.num_rows):
+                there = slice(right_at[i], right_at[i + 1])
+                for k in range(left_at[i], left_at[i + 1]):
+                    apart = np.flatnonzero(right_comp[there] != left_comp[k])
+                    near = apart[(right_sig[there][apart] == left_sig[k]).sum(1) >= least]
+                    a.append(np.full(len(near), left[k]))
+                    b.append(right[there][near])
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
@@ -239,7 +261,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     all_blocks = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = rows.where("left_over").select("band", place("of_left").alias("i"), all_blocks("of_right").alias("j"), entry).groupBy("band", "i", "j").agg(F.collect_list("entry").alias("left"))
     right = rows.select("band", place("of_right").alias("j"), all_blocks("of_left").alias("i"), entry).groupBy("band", "i", "j").agg(F.collect_list("entry").alias("right"))
+    small_batches(spark, 16)  # a row has up to two blocks
     rest = written(cross_pairs(left.join(right, ["band", "i", "j"]).select("left", "right"), plan))
+    small_batches(spark, 500)
     links = first.union(confirmed(rest, sets, plan))
     final = components(links)
     named_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
