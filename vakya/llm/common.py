@@ -44,8 +44,9 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, as a text can be very long."""
+    """Bounds the rows and bytes of an Arrow batch, as a text can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

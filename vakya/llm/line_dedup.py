@@ -33,8 +33,9 @@ class Chunking:
     divisor: int = 2
     #: A line of so many words is a chunk of its own.
     long_line: int = 40
-    #: Chunks of several lines are compared from so many words on.
-    least_words: int = 20
+    #: Chunks of several lines, and of one line, are compared from so many words on.
+    least_words: int = 8
+    least_words_alone: int = 15
 
 
 def chunk_spans(lines: list[bytes], rule: Chunking) -> list[tuple[int, int, int]]:
@@ -46,7 +47,7 @@ def chunk_spans(lines: list[bytes], rule: Chunking) -> list[tuple[int, int, int]
     def close(stop: int) -> None:
         nonlocal start, total
         n = stop - start
-        if total >= (rule.least_words if n > 1 else rule.long_line):
+        if total >= (rule.least_words if n > 1 else rule.least_words_alone):
             found.append((start, n, total))
         start, total = stop, 0
 
