@@ -1 +1,120 @@
-"""Queries."""
+"""Queries on event streams in their batch form; ``vakya.streaming`` has the streaming form of the same operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..streaming import operators as O
+from .registry import Tables, query
+
+N = F.count(F.lit(1)).alias("n")
+
+
+@query("str_ring_window", """
+    select event_id, count(*) over w as n, round(sum(value) over w, 4) as total from events window w as (partition by user_id order by ts range between interval 1 hour preceding and current row)""")
+def ring_window(t: Tables) -> DataFrame:
+    """What a buffer of the last hour holds at each event."""
+    frame = "over (partition by user_id order by ts range between interval 1 hour preceding and current row)"
+    return t.events.selectExpr("event_id", f"count(*) {frame} as n", f"round(sum(value) {frame}, 4) as total")
+
+
+@query("str_period_metrics", """
+    select time_bucket(interval 6 hours, ts) as start, count(*) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(max(value), 6) as most, arg_max(event_id, row(ts, event_id)) as last from events group by 1""")
+def period_metrics(t: Tables) -> DataFrame:
+    """Metrics of fixed periods."""
+    start = F.window("ts", "6 hours").start
+    return t.events.groupBy(start.alias("start")).agg(N, F.round(F.expr("percentile(value, 0.5d)"), 6).alias("p50"), F.round(F.expr("percentile(value, 0.95d)"), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
+
+
+@query("str_sliding_counts", """
+    with s as (select event_type, unnest([time_bucket(interval 6 hours, ts), time_bucket(interval 6 hours, ts) - interval 6 hours]) as start from events) select event_type, start, count(*) as n from s group by 1, 2""")
+def sliding_counts(t: Tables) -> DataFrame:
+    """Windows of twelve hours every six hours."""
+    return t.events.groupBy("event_type", F.window("ts", "12 hours", "6 hours").start.alias("start")).agg(N)
+
+
+@query("str_session_windows", """
+    with f as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 2 hours then 1 else 0 end as new from events), s as (select *, sum(new) over (partition by user_id order by ts, event_id) as k from f)
+    select user_id, min(ts) as start, max(ts) + interval 2 hours as stop, count(*) as n from s group by user_id, k""")
+def session_windows(t: Tables) -> DataFrame:
+    w = F.session_window("ts", "2 hours")
+    return t.events.groupBy("user_id", w.alias("w")).agg(N).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+
+
+@query("str_daily_quota", """
+    select user_id, date_trunc('day', ts) as day, count(*) as n, count(*) > 4 as over_quota from events where event_type = 'click' group by 1, 2""")
+def daily_quota(t: Tables) -> DataFrame:
+    return t.events.where("event_type = 'click'").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(N, (F.count(F.lit(1)) > 4).alias("over_quota"))
+
+
+@query("str_concurrency", """
+    with e as (select user_id % 10 as k, epoch_us(ts) as micros, 1 as d from events union all select user_id % 10, epoch_us(ts) + 3600000000, -1 from events), r as (select k, sum(d) over (partition by k order by micros, d rows between unbounded preceding and current row) as n from e) select k, cast(max(n) as bigint) as most from r group by 1""")
+def concurrency(t: Tables) -> DataFrame:
+    """Most sessions of an hour at once: a running sum of starts and ends."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    moves = t.events.select(F.pmod("user_id", F.lit(10)).alias("k"), F.explode(F.array(F.struct(at.alias("at"), F.lit(1).alias("d")), F.struct((at + 3600000000).alias("at"), F.lit(-1).alias("d")))).alias("m"))
+    run = F.sum("m.d").over(W.partitionBy("k").orderBy("m.at", "m.d").rowsBetween(W.unboundedPreceding, 0))
+    return moves.select("k", run.alias("n")).groupBy("k").agg(F.max("n").alias("most"))
+
+
+@query("str_expiry", """
+    select user_id, max(ts) as last_seen, (select max(ts) from events) - max(ts) > interval 6 hours as expired, arg_max(event_type, row(ts, event_id)) as state from events group by 1""")
+def expiry(t: Tables) -> DataFrame:
+    """Keys that have been silent for six hours at the end."""
+    end = t.events.agg(F.max("ts")).scalar()
+    seen = t.events.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
+    return seen.select("user_id", "last_seen", (end - F.col("last_seen") > F.expr("interval 6 hours")).alias("expired"), "state")
+
+
+@query("str_stage_pivot", """
+    with s as (select user_id, event_type, min(ts) as first from events group by 1, 2), p as (select user_id, max(first) filter (where event_type = 'view') as v, max(first) filter (where event_type = 'click') as c, max(first) filter (where event_type = 'purchase') as b from s group by 1)
+    select user_id, round((epoch_us(c) - epoch_us(v)) / 1000.0, 3) as view_to_click, round((epoch_us(b) - epoch_us(c)) / 1000.0, 3) as click_to_purchase, b is not null as done from p""")
+def stage_pivot(t: Tables) -> DataFrame:
+    """First times of the stages of each key, as latencies."""
+    first = t.events.groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.min("ts"))
+    ms = lambda a, b: F.round((F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) / F.lit(1000.0), 3)
+    return first.select("user_id", ms("view", "click").alias("view_to_click"), ms("click", "purchase").alias("click_to_purchase"), F.col("purchase").isNotNull().alias("done"))
+
+
+@query("str_deduplicated", """
+    select user_id, event_type, min(event_id) as first_id, count(*) as seen from events group by user_id, event_type, date_trunc('hour', ts)""")
+def deduplicated(t: Tables) -> DataFrame:
+    """One event of a kind and hour."""
+    return t.events.groupBy("user_id", "event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("seen")).drop("h")
+
+
+@query("str_event_reducer", """
+    with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events)
+    select user_id, arg_max(value, row(ts, event_id)) filter (where event_type = 'view') as last_view, arg_max(props, row(ts, event_id)) filter (where event_type = 'click') as last_click, count(*) filter (where event_type not in ('view', 'click', 'purchase')) as unknown,
+           array_to_string(list(event_id order by ts, event_id) filter (where rn <= 10), ',') as recent from r group by 1""")
+def event_reducer(t: Tables) -> DataFrame:
+    """The latest of each kind, a bounded list of the last, and a count of unknown kinds."""
+    ranked = t.events.withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))))
+    latest = lambda col, kind: F.max_by(F.when(F.col("event_type") == kind, F.col(col)), F.when(F.col("event_type") == kind, F.struct("ts", "event_id")))
+    recent = F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 10, F.struct("ts", "event_id")))), lambda x: x["event_id"])
+    return ranked.groupBy("user_id").agg(latest("value", "view").alias("last_view"), latest("props", "click").alias("last_click"), F.count_if(~F.col("event_type").isin("view", "click", "purchase")).alias("unknown"), F.array_join(recent, ",").alias("recent"))
+
+
+@query("str_ping_pong", """
+    with p as (select event_id, user_id, json_extract_string(props, '$.k') as k, ts from events where event_type = 'click'), q as (select user_id, json_extract_string(props, '$.k') as k, ts from events where event_type = 'view')
+    select p.event_id, round(min(epoch_us(q.ts) - epoch_us(p.ts)) / 1000000.0, 6) as lag_s from p join q on p.user_id = q.user_id and p.k = q.k and q.ts >= p.ts and q.ts <= p.ts + interval 10 days group by 1""")
+def ping_pong(t: Tables) -> DataFrame:
+    """The answer to each ping of an id within a bound of time."""
+    of = lambda kind, ts: t.events.where(F.col("event_type") == kind).select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"), F.col("ts").alias(ts))
+    pairs = of("click", "sent").join(of("view", "back").drop("event_id"), ["user_id", "k"]).where("back >= sent and back <= sent + interval 10 days")
+    lag = F.unix_micros(F.col("back").cast("timestamp")) - F.unix_micros(F.col("sent").cast("timestamp"))
+    return pairs.groupBy("event_id").agg(F.round(F.min(lag) / F.lit(1000000.0), 6).alias("lag_s"))
+
+
+@query("str_debounce")
+def debounce(t: Tables) -> DataFrame:
+    """Events that fire: at least an hour after the last that fired. Recursive, so a fold for each key."""
+    return O.debounce_batch(t.events.select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 3600.0)
+
+
+@query("str_rate_limit")
+def rate_limit(t: Tables) -> DataFrame:
+    """Admitted requests: at most three admitted ones in any six hours of a key."""
+    return O.rate_limit_batch(t.events.select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 3, 6 * 3600.0)
