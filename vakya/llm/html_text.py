@@ -194,7 +194,7 @@ class Page:
 
 
 def style_importance(pages: DataFrame, tree: StyleTree = StyleTree()) -> DataFrame:
-    """(site, path, n_pages, presentation, content, importance) of each element of each host's merged tree, from ``pages(site, html)``."""
+    """(site, path, n_pages, presentation, content, importance) of each element of each host's merged tree, from ``pages(site, html)``; content and importance are null without text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +216,7 @@ def style_importance(pages: DataFrame, tree: StyleTree = StyleTree()) -> DataFra
     )
     log_m = F.log("m")
     presentation = F.when(F.col("m") > 1, (log_m - F.col("shapes") / F.col("m")) / log_m).otherwise(F.lit(1.0))
-    content = F.when(F.col("m") > 1, F.lit(1.0) - F.coalesce(F.col("repeats"), log_m) / log_m).otherwise(F.lit(1.0))
+    content = F.when(F.col("m") > 1, F.lit(1.0) - F.col("repeats") / log_m).otherwise(F.lit(1.0))
     w = tree.content_weight
     return merged.select("site", "path", F.col("m").cast("long").alias("n_pages"), presentation.alias("presentation"), content.alias("content"), (presentation * (1 - w) + content * w).alias("importance"))
 
