@@ -41,6 +41,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 BLOCK_TOKENS = 1_500_000
 WORDS_REMEMBERED = 400_000
 FOLDS, HELD_OUT = 7, 2
+#: Stands for a null id in packed arrays.
+NO_ID = -(1 << 63)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -146,7 +148,7 @@ def block_rows(block: int, ids: list, texts: list[np.ndarray], hot: np.ndarray,
         pair, word = starts_of(ww, hh), starts_of(ww)
         rows.append((
             b, block, ww[word].tobytes(), pack(np.diff(np.r_[np.searchsorted(pair, word), len(pair)]).astype("<u4")), hh[pair].tobytes(), pack(np.diff(np.r_[pair, hi - lo]).astype("<u4")),
-            d[lo:hi].tobytes(), pack(count[lo:hi].astype("<u4")), train, np.array([-1 if x is None else x for x in ids], "<i8").tobytes() if home else None, lengths.astype("<i8").tobytes() if home else None,
+            d[lo:hi].tobytes(), pack(count[lo:hi].astype("<u4")), train, np.array([NO_ID if x is None else x for x in ids], "<i8").tobytes() if home else None, lengths.astype("<i8").tobytes() if home else None,
         ))
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], BLOCK_NAMES)
@@ -373,7 +375,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base, total, known, home = 0, 0, 0, None
         for r in zip(*(table.column(n).to_pylist() for n in ("kind", "a", "b", "c", "train", "ids", "lengths")), strict=True):
             if r[0] == 0:
-                base, total, known = np.frombuffer(r[1]), total + np.pad(np.frombuffer(r[2]), 0), unpack(r[3], "<u4")
+                base, total, known = np.frombuffer(r[1]), total + np.frombuffer(r[2]), unpack(r[3], "<u4")
                 home = r[4:] if r[5] is not None else home
         ids, lengths = np.frombuffer(home[1], "<i8"), np.frombuffer(home[2], "<i8")
         n = len(ids)
@@ -383,7 +385,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 x = np.frombuffer(x)[:n]
                 total[: len(x)] += x
         train = np.unpackbits(np.frombuffer(home[0], np.uint8))[:n].astype(bool)
-        return pa.table([pa.array(ids), pa.array(~train), pa.array(lengths), pa.array(known[:n].astype(np.int64)), pa.array(np.full(n, n_train)), pa.array(base[:n]), pa.array(total)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(~train), pa.array(lengths), pa.array(known[:n].astype(np.int64)), pa.array(np.full(n, n_train)), pa.array(base[:n]), pa.array(total)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     found = answers.groupBy("block").applyInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return found.withColumnRenamed("id", id_col)
