@@ -3,6 +3,8 @@
 import datetime
 import decimal
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -56,3 +58,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_need_no_session():
+    """The list of queries can be read before any session starts."""
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from .registry import Tables, query
+from .registry import Tables, count_n, query
 
-N = F.count(F.lit(1)).alias("n")
 
 
 def month(col: str = "o_orderdate"):
@@ -26,7 +25,7 @@ JUDGED = "(select l.*, lang, source, n_chars, case when n_chars > 800 then 1 els
 
 @query("ag_counts", "select event_type, count(*) as n from events group by 1")
 def counts(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(N)
+    return t.events.groupBy("event_type").agg(count_n())
 
 
 @query("ag_two_level", """
@@ -44,7 +43,7 @@ def two_level(t: Tables) -> DataFrame:
 def bands_pooled(t: Tables) -> DataFrame:
     """By band and for all: the mean over months of a ratio, and the ratio of the sums."""
     rows = t.lineitem.select("l_returnflag", month("l_shipdate").alias("seed"), (F.col("l_extendedprice") * F.col("l_discount")).alias("num"), F.col("l_extendedprice").alias("den"))
-    level = rows.groupingSets([["l_returnflag", "seed"], ["seed"]], "l_returnflag", "seed").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), N)
+    level = rows.groupingSets([["l_returnflag", "seed"], ["seed"]], "l_returnflag", "seed").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), count_n())
     ratio = F.try_divide("num", "den")
     return level.groupBy(F.coalesce("l_returnflag", F.lit("all")).alias("band")).agg(
         F.round(F.avg(ratio), 6).alias("mean_ratio"), F.round(F.stddev_pop(ratio), 6).alias("std_ratio"), F.round(F.try_divide(F.sum("num"), F.sum("den")), 6).alias("pooled"), F.sum("n").alias("n"),
@@ -69,20 +68,20 @@ def summary(t: Tables) -> DataFrame:
 @query("ag_conditional_counts", """
     select o_orderstatus, count(*) filter (where o_totalprice > 100000) as big, count(*) filter (where o_orderpriority like '1%' or o_orderpriority like '2%') as urgent, count(*) as n from orders group by 1""")
 def conditional_counts(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice") > 100000).alias("big"), F.count_if(F.col("o_orderpriority").rlike("^[12]")).alias("urgent"), N)
+    return t.orders.groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice") > 100000).alias("big"), F.count_if(F.col("o_orderpriority").rlike("^[12]")).alias("urgent"), count_n())
 
 
 @query("ag_rollup_total", "select case when grouping(event_type) = 1 then 'ALL' else event_type end as event_type, count(*) as n, round(sum(value), 4) as total from events group by rollup(event_type)")
 def rollup_total(t: Tables) -> DataFrame:
     kind = F.when(F.grouping("event_type") == 1, "ALL").otherwise(F.col("event_type"))
-    return t.events.rollup("event_type").agg(N, F.round(F.sum("value"), 4).alias("total"), kind.alias("kind")).select(F.col("kind").alias("event_type"), "n", "total")
+    return t.events.rollup("event_type").agg(count_n(), F.round(F.sum("value"), 4).alias("total"), kind.alias("kind")).select(F.col("kind").alias("event_type"), "n", "total")
 
 
 @query("ag_cube", """
     select l_returnflag, l_linestatus, grouping(l_returnflag) + grouping(l_linestatus) as level, count(*) as n from lineitem group by cube(l_returnflag, l_linestatus)""")
 def cube(t: Tables) -> DataFrame:
     level = (F.grouping("l_returnflag") + F.grouping("l_linestatus")).cast("int")
-    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(level.alias("level"), N)
+    return t.lineitem.cube("l_returnflag", "l_linestatus").agg(level.alias("level"), count_n())
 
 
 @query("ag_breakdowns", f"""
@@ -92,7 +91,7 @@ def breakdowns(t: Tables) -> DataFrame:
     """One pass over several single dimensions."""
     rows = judged(t).withColumn("q", F.col("quality").cast("string"))
     name = F.when(F.grouping("lang") == 0, "lang").when(F.grouping("source") == 0, "source").otherwise("quality")
-    out = rows.groupingSets([["lang"], ["source"], ["q"]], "lang", "source", "q").agg(name.alias("dimension"), N, F.count_if(F.col("pred") == F.col("quality")).alias("hits"))
+    out = rows.groupingSets([["lang"], ["source"], ["q"]], "lang", "source", "q").agg(name.alias("dimension"), count_n(), F.count_if(F.col("pred") == F.col("quality")).alias("hits"))
     return out.select("dimension", F.coalesce("lang", "source", "q").alias("value"), "n", "hits")
 
 
@@ -115,7 +114,7 @@ def nested_ratios(t: Tables) -> DataFrame:
     select coalesce(cast(quality as varchar), 'none') as gold, cast(case when n_chars > 800 then 1 else 0 end as varchar) as pred, count(*) as n from documents left join labels using (doc_id) group by 1, 2""")
 def confusion(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", (F.col("n_chars") > 800).cast("int").cast("string").alias("pred")).join(t.labels, "doc_id", "left")
-    return rows.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("gold"), "pred").agg(N)
+    return rows.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("gold"), "pred").agg(count_n())
 
 
 @query("ag_argument_table", """
@@ -124,14 +123,14 @@ def confusion(t: Tables) -> DataFrame:
 def argument_table(t: Tables) -> DataFrame:
     """Arguments as a map whose keys are data."""
     args = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
-    return t.events.select("event_type", F.explode(args).alias("arg", "value")).groupBy("event_type", "arg").agg(N, F.count("value").alias("filled"), F.countDistinct("value").alias("different"))
+    return t.events.select("event_type", F.explode(args).alias("arg", "value")).groupBy("event_type", "arg").agg(count_n(), F.count("value").alias("filled"), F.countDistinct("value").alias("different"))
 
 
 @query("ag_failure_groups", """
     select case when quality = 1 then 'pass' when toxic = 1 then 'toxic' when n_chars < 500 then 'short' else 'other' end as failure, count(*) as n, count(*) filter (where lang = 'en') as english from labels join documents using (doc_id) group by 1 order by n desc, failure""")
 def failure_groups(t: Tables) -> DataFrame:
     kind = F.when(F.col("quality") == 1, "pass").when(F.col("toxic") == 1, "toxic").when(F.col("n_chars") < 500, "short").otherwise("other")
-    return judged(t).groupBy(kind.alias("failure")).agg(N, F.count_if(F.col("lang") == "en").alias("english")).orderBy(F.desc("n"), "failure")
+    return judged(t).groupBy(kind.alias("failure")).agg(count_n(), F.count_if(F.col("lang") == "en").alias("english")).orderBy(F.desc("n"), "failure")
 
 
 @query("ag_percentiles", """
@@ -152,7 +151,7 @@ def recent_stats(t: Tables) -> DataFrame:
     w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     recent = t.events.withColumn("rn", F.row_number().over(w)).where("rn <= 50")
     r = lambda c: F.round(c, 6)
-    return recent.groupBy("user_id").agg(r(F.max(F.when(F.col("rn") == 1, F.col("value")))).alias("last"), r(A.linear("value", 0.5)).alias("p50"), r(A.linear("value", 0.95)).alias("p95"), r(F.max("value")).alias("most"), N)
+    return recent.groupBy("user_id").agg(r(F.max(F.when(F.col("rn") == 1, F.col("value")))).alias("last"), r(A.linear("value", 0.5)).alias("p50"), r(A.linear("value", 0.95)).alias("p95"), r(F.max("value")).alias("most"), count_n())
 
 
 @query("ag_distinct", "select l_returnflag, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers, count(distinct l_orderkey) as orders from lineitem group by 1")
@@ -164,7 +163,7 @@ def distinct(t: Tables) -> DataFrame:
     with c as (select p_brand, p_type, count(*) as n from part group by 1, 2) select p_brand, p_type as mode, n from c qualify row_number() over (partition by p_brand order by n desc, p_type) = 1""")
 def mode(t: Tables) -> DataFrame:
     """The most frequent value; ties: the first by name."""
-    c = t.part.groupBy("p_brand", "p_type").agg(N)
+    c = t.part.groupBy("p_brand", "p_type").agg(count_n())
     best = F.min(F.struct((-F.col("n")).alias("m"), "p_type"))
     return c.groupBy("p_brand").agg(best.alias("b")).select("p_brand", F.col("b.p_type").alias("mode"), (-F.col("b.m")).alias("n"))
 
@@ -173,20 +172,20 @@ def mode(t: Tables) -> DataFrame:
     with w as (select unnest(string_split_regex(lower(text), '[^a-z]+')) as word from conversations) select word, count(*) as n from w where word <> '' group by 1 order by n desc, word limit 25""")
 def top_words(t: Tables) -> DataFrame:
     words = t.conversations.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''")
-    return words.groupBy("word").agg(N).orderBy(F.desc("n"), "word").limit(25)
+    return words.groupBy("word").agg(count_n()).orderBy(F.desc("n"), "word").limit(25)
 
 
 @query("ag_diversity", """
     with c as (select c_mktsegment as kind, c_nationkey as value, count(*) as n from customer group by 1, 2) select kind, count(*) as different, max(n) as most_reused, arg_min(value, row(-n, value)) as which from c group by 1""")
 def diversity(t: Tables) -> DataFrame:
     """Of each kind: distinct values, and the one used most."""
-    c = t.customer.groupBy(F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("value")).agg(N)
+    c = t.customer.groupBy(F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("value")).agg(count_n())
     return c.groupBy("kind").agg(F.count(F.lit(1)).alias("different"), F.max("n").alias("most_reused"), F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("which"))
 
 
 @query("ag_histogram", "select turns, count(*) as n from (select conv_id, count(*) as turns from conversations group by 1) group by 1 order by 1")
 def histogram(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")).groupBy("turns").agg(N).orderBy("turns")
+    return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")).groupBy("turns").agg(count_n()).orderBy("turns")
 
 
 @query("ag_bool_as_ratio", f"select lang, count(*) filter (where quality = 1) || '/' || count(quality) as good, round(avg(n_chars), 6) as chars from {JUDGED} group by 1")
@@ -221,7 +220,7 @@ def micro_f1(t: Tables) -> DataFrame:
 def trigram_repeats(t: Tables) -> DataFrame:
     words = t.documents.select("doc_id", F.filter(F.split(F.trim("text"), "[ \\t\\n\\r]+"), lambda x: x != "").alias("w")).where(F.size("w") >= 3)
     grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("gram"))
-    return grams.groupBy("doc_id", "gram").agg(N).groupBy("doc_id").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("different"))
+    return grams.groupBy("doc_id", "gram").agg(count_n()).groupBy("doc_id").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("different"))
 
 
 @query("ag_threshold_sweep", f"""
@@ -263,11 +262,11 @@ def latency_legs(t: Tables) -> DataFrame:
 
 
 @query("ag_composite_score", """
-    with s as (select c_nationkey, avg(c_acctbal) as a, count(*) as n, count(*) filter (where c_acctbal < 0) as bad from customer group by 1) select c_nationkey, round((a / 1000 + n / 100.0) / 2 - 0.05 * bad, 6) as score from s where bad < n / 4.0""")
+    with s as (select c_nationkey, avg(c_acctbal) as a, count(*) as n, count(*) filter (where c_acctbal < 0) as bad from customer group by 1) select c_nationkey, round((a / 1000 + n / 100.0) / 2 - 0.05 * bad, 10) as score from s where bad < n / 4.0""")
 def composite_score(t: Tables) -> DataFrame:
     """A mean of metrics less a penalty, where groups with too many faults are out."""
-    s = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("a"), N, F.count_if(F.col("c_acctbal") < 0).alias("bad"))
-    return s.where(F.col("bad") < F.col("n") / 4.0).select("c_nationkey", F.round((F.col("a") / 1000 + F.col("n") / 100.0) / 2 - F.col("bad") * 0.05, 6).alias("score"))
+    s = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("a"), count_n(), F.count_if(F.col("c_acctbal") < 0).alias("bad"))
+    return s.where(F.col("bad") < F.col("n") / 4.0).select("c_nationkey", F.round((F.col("a") / 1000 + F.col("n") / 100.0) / 2 - F.col("bad") * 0.05, 10).alias("score"))
 
 
 @query("ag_best_of_n", """

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as X
-from .registry import Tables, query
+from .registry import Tables, count_n, query
 from .sampling import HD
 from .texts import ALNUM
 
-N = F.count(F.lit(1)).alias("n")
 
 
 @query("ag_running_counts", """
@@ -30,7 +29,7 @@ def ordinal_spearman(t: Tables) -> DataFrame:
     rank = lambda c: F.row_number().over(W.partitionBy("c_mktsegment").orderBy(c, "c_custkey"))
     r = t.customer.select("c_mktsegment", rank("c_acctbal").alias("x"), rank("c_nationkey").alias("y"))
     rho = F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")))
-    return r.groupBy("c_mktsegment").agg(F.round(rho, 6).alias("rho"), N)
+    return r.groupBy("c_mktsegment").agg(F.round(rho, 6).alias("rho"), count_n())
 
 
 @query("ag_log_rounds", """
@@ -41,14 +40,14 @@ def log_rounds(t: Tables) -> DataFrame:
     """The round that each log line belongs to: rounds so far, by a running count instead of a range join."""
     so_far = F.count_if(F.col("event_type") == "signup").over(W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, 0))
     rows = t.events.select("event_type", so_far.alias("round_")).where("event_type = 'error' and round_ > 0")
-    return rows.groupBy("round_").agg(N)
+    return rows.groupBy("round_").agg(count_n())
 
 
 @query("ag_misroutes", """
     select c_mktsegment, case when o_totalprice > 300000 then 'price' when o_orderstatus = 'P' then 'pending' else 'none' end as rule, count(*) as n, count(*) filter (where o_orderpriority like '1%') as urgent from orders join customer on o_custkey = c_custkey group by 1, 2""")
 def misroutes(t: Tables) -> DataFrame:
     kind = F.when(F.col("o_totalprice") > 300000, "price").when(F.col("o_orderstatus") == "P", "pending").otherwise("none")
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", kind.alias("rule")).agg(N, F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"))
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", kind.alias("rule")).agg(count_n(), F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"))
 
 
 @query("wn_speaker_blocks", """
@@ -156,7 +155,7 @@ def keyword_flags(t: Tables) -> DataFrame:
 def phrase_vocabulary(t: Tables) -> DataFrame:
     """Phrases of one and two words, the longest first."""
     w = X.alnum_tokens(F.col("p_name"))
-    return t.part.select(F.explode(F.concat(w, X.ngrams(w, 2))).alias("phrase")).groupBy("phrase").agg(N).orderBy(F.desc(F.length("phrase")), "phrase")
+    return t.part.select(F.explode(F.concat(w, X.ngrams(w, 2))).alias("phrase")).groupBy("phrase").agg(count_n()).orderBy(F.desc(F.length("phrase")), "phrase")
 
 
 @query("tx_duplicate_tokens", f"""

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..streaming import operators as O
-from .registry import Tables, query
+from .registry import Tables, count_n, query
 
-N = F.count(F.lit(1)).alias("n")
 
 
 @query("str_ring_window", """
@@ -25,14 +24,14 @@ def ring_window(t: Tables) -> DataFrame:
 def period_metrics(t: Tables) -> DataFrame:
     """Metrics of fixed periods."""
     start = F.window("ts", "6 hours").start
-    return t.events.groupBy(start.alias("start")).agg(N, F.round(F.expr("percentile(value, 0.5d)"), 6).alias("p50"), F.round(F.expr("percentile(value, 0.95d)"), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
+    return t.events.groupBy(start.alias("start")).agg(count_n(), F.round(F.expr("percentile(value, 0.5d)"), 6).alias("p50"), F.round(F.expr("percentile(value, 0.95d)"), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
 
 
 @query("str_sliding_counts", """
     with s as (select event_type, unnest([time_bucket(interval 6 hours, ts), time_bucket(interval 6 hours, ts) - interval 6 hours]) as start from events) select event_type, start, count(*) as n from s group by 1, 2""")
 def sliding_counts(t: Tables) -> DataFrame:
     """Windows of twelve hours every six hours."""
-    return t.events.groupBy("event_type", F.window("ts", "12 hours", "6 hours").start.alias("start")).agg(N)
+    return t.events.groupBy("event_type", F.window("ts", "12 hours", "6 hours").start.alias("start")).agg(count_n())
 
 
 @query("str_session_windows", """
@@ -40,13 +39,13 @@ def sliding_counts(t: Tables) -> DataFrame:
     select user_id, min(ts) as start, max(ts) + interval 2 hours as stop, count(*) as n from s group by user_id, k""")
 def session_windows(t: Tables) -> DataFrame:
     w = F.session_window("ts", "2 hours")
-    return t.events.groupBy("user_id", w.alias("w")).agg(N).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+    return t.events.groupBy("user_id", w.alias("w")).agg(count_n()).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
 @query("str_daily_quota", """
     select user_id, date_trunc('day', ts) as day, count(*) as n, count(*) > 4 as over_quota from events where event_type = 'click' group by 1, 2""")
 def daily_quota(t: Tables) -> DataFrame:
-    return t.events.where("event_type = 'click'").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(N, (F.count(F.lit(1)) > 4).alias("over_quota"))
+    return t.events.where("event_type = 'click'").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(count_n(), (F.count(F.lit(1)) > 4).alias("over_quota"))
 
 
 @query("str_concurrency", """

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .registry import Tables, query
+from .registry import Tables, count_n, query
 
-N = F.count(F.lit(1)).alias("n")
 ALNUM = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9@]+'), lambda t: t <> '')"
 FOLD = ("áàâäéèêëíïîóöôúüûñçÁÀÂÄÉÈÊËÍÏÎÓÖÔÚÜÛÑÇ", "aaaaeeeeiiiooouuuncAAAAEEEEIIIOOOUUUNC")
 
@@ -75,7 +74,7 @@ def email_check(t: Tables) -> DataFrame:
     email = raw.select("doc_id", X.email_normal(F.col("raw")).alias("email"))
     c = F.col("email")
     reason = F.when(~c.like("%_@_%"), "incomplete").when(~c.rlike("[.][a-z]+$"), "no domain").when(c.like("%@%@%"), "two signs").otherwise("ok")
-    return email.groupBy("doc_id", "email", reason.alias("reason")).agg(N)
+    return email.groupBy("doc_id", "email", reason.alias("reason")).agg(count_n())
 
 
 @query("tx_phone_canonical", f"""
@@ -83,7 +82,7 @@ def email_check(t: Tables) -> DataFrame:
     select doc_id, case when length(d) = 12 and starts_with(d, '91') then substr(d, 3, 10) when length(d) = 11 and starts_with(d, '0') then substr(d, 2, 10) else d end as phone, count(*) as n from p group by 1, 2""")
 def phone_canonical(t: Tables) -> DataFrame:
     raw = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PHONE), F.lit(0))).alias("raw"))
-    return raw.groupBy("doc_id", X.phone_canonical(F.col("raw")).alias("phone")).agg(N)
+    return raw.groupBy("doc_id", X.phone_canonical(F.col("raw")).alias("phone")).agg(count_n())
 
 
 @query("tx_skeletons")
@@ -118,7 +117,7 @@ def cleanup(t: Tables) -> DataFrame:
     select gram, count(*) as n, count(distinct conv_id) as calls from g group by 1 having count(*) > 1""")
 def bigrams(t: Tables) -> DataFrame:
     grams = t.conversations.select("conv_id", F.explode(X.ngrams(X.alnum_tokens(F.col("text")), 2)).alias("gram"))
-    return grams.groupBy("gram").agg(N, F.countDistinct("conv_id").alias("calls")).where("n > 1")
+    return grams.groupBy("gram").agg(count_n(), F.countDistinct("conv_id").alias("calls")).where("n > 1")
 
 
 @query("tx_json_paths", "select event_id, cast(json_extract_string(props, '$.k') as int) as k, '{\"k\":' || json_extract_string(props, '$.k') || ',\"type\":\"' || event_type || '\"}' as canonical from events")
@@ -268,7 +267,7 @@ def order_class(t: Tables) -> DataFrame:
     select c_nationkey, arg_min(c_custkey, row(c_acctbal, c_custkey)) as pick, count(*) as usable from customer where c_acctbal > 0 group by 1""")
 def best_checkpoint(t: Tables) -> DataFrame:
     """The least loss of the usable rows."""
-    return t.customer.where("c_acctbal > 0").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("pick"), N.alias("usable"))
+    return t.customer.where("c_acctbal > 0").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("pick"), count_n().alias("usable"))
 
 
 @query("er_dimension_analysis", """
@@ -278,4 +277,4 @@ def dimension_analysis(t: Tables) -> DataFrame:
     """Negative rows by each of several dimensions, in one pass."""
     rows = t.labels.where("quality = 0").join(t.documents, "doc_id")
     dims = F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("-")), F.lit("source"), F.col("source"), F.lit("length"), F.when(F.col("n_chars") > 1000, "long").otherwise("short"))
-    return rows.select("toxic", F.explode(dims).alias("dimension", "value")).groupBy("dimension", "value").agg(N, F.count_if(F.col("toxic") == 1).alias("toxic"))
+    return rows.select("toxic", F.explode(dims).alias("dimension", "value")).groupBy("dimension", "value").agg(count_n(), F.count_if(F.col("toxic") == 1).alias("toxic"))
