@@ -206,25 +206,103 @@ def side_arrays(column: pa.Array, values: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def cross_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of a ``left`` and a ``right`` class of one row that are in different components and look alike."""
+    """(band, i, j, nodes, a, b): pairs of ``left`` and ``right`` classes of a row of blocks that are in different components and look alike.
+
+    ``a`` and ``b`` are places in ``nodes``. A pair is taken in the first band that both share, so in one row only.
+    """
     least = plan.least_estimate * plan.values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            left_at, left, left_comp, left_sig = side_arrays(batch.column(0), plan.values)
-            right_at, right, right_comp, right_sig = side_arrays(batch.column(1), plan.values)
+            left_at, left, left_comp, left_sig = side_arrays(batch.column(4), plan.values)
+            right_at, right, right_comp, right_sig = side_arrays(batch.column(5), plan.values)
+            numbers = batch.column(3).to_pylist()
+            keep, nodes, firsts, seconds = [], [], [], []
             for i in range(batch.num_rows):
                 there = slice(right_at[i], right_at[i + 1])
+                a, b = [], []
                 for k in range(left_at[i], left_at[i + 1]):
                     apart = np.flatnonzero(right_comp[there] != left_comp[k])
-                    near = apart[(right_sig[there][apart] == left_sig[k]).sum(1) >= least]
-                    a.append(np.full(len(near), left[k]))
-                    b.append(right[there][near])
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+                    same = right_sig[there][apart] == left_sig[k]
+                    near = same.sum(1) >= least
+                    shared = same[near].reshape(-1, plan.bands, plan.rows).all(2)
+                    found = apart[near][shared.argmax(1) == numbers[i]]
+                    a.append(np.full(len(found), left[k]))
+                    b.append(right[there][found])
+                a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+                if len(a):
+                    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    known, place = np.unique(pairs, return_inverse=True)
+                    place = place.reshape(-1, 2).astype("<u2")
+                    keep.append(i)
+                    nodes.append(known.tolist())
+                    firsts.append(place[:, 0].tobytes())
+                    seconds.append(place[:, 1].tobytes())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(at) for i in range(3)), pa.array(nodes, pa.list_(pa.int64())), pa.array(firsts, pa.binary()), pa.array(seconds, pa.binary())], ["band", "i", "j", "nodes", "a", "b"]
+            )
+
+    return rows.select("band", "i", "j", "number", "left", "right").mapInArrow(run, "band long, i int, j int, nodes array<long>, a binary, b binary")
+
+
+def confirmed_blocks(work: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Links (u, v) among the pairs of ``cross_pairs`` on full sets: enough of them to join all that are linked.
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    Each set is sent once to each row of blocks that needs it. Pairs that links found before have joined are skipped.
+    """
+    on = ["band", "i", "j"]
+    places = written(work.select(*on, F.posexplode("nodes").alias("place", "node")))
+    parts = sets.join(broadcast_if_small(places, BROADCAST_ROWS), "node").select(*on, "place", F.col("shingles").alias("data"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("array<long>").alias("nodes"))
+    heads = work.select(*on, F.lit(-1).alias("place"), F.col("a").alias("data"), "b", "nodes")
+
+    def links(pairs: np.ndarray, nodes: list[int], found: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
+        root = list(range(len(nodes)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in pairs.tolist():
+            u, v = top(a), top(b)
+            if u != v and a in found and b in found:
+                x, y = found[a], found[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= plan.percent * (len(x) + len(y) - both):
+                    root[u] = v
+                    yield nodes[a], nodes[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head, found = None, None, {}
+        out: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if head is not None:
+                out.extend(links(head[0], head[1], found))
+
+        def taken() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["u", "v"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for k, (band, i, j, place) in enumerate(zip(*columns, strict=True)):
+                if key != (band, i, j):
+                    close()
+                    key, head, found = (band, i, j), None, {}
+                data = batch.column(4)[k].as_buffer()
+                if place < 0:
+                    head = np.stack([np.frombuffer(data, "<u2"), np.frombuffer(batch.column(5)[k].as_buffer(), "<u2")], 1), batch.column(6)[k].as_py()
+                else:
+                    found[place] = np.frombuffer(data, "<u8").copy()
+            yield taken()
+        close()
+        yield taken()
+
+    return parts.unionByName(heads).select(*on, "place", "data", "b", "nodes").repartition(*on).sortWithinPartitions(*on, "place").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,9 +318,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     sig = written(signatures(docs, plan, id_col, text_col))
     classes = written(sig.where("n_shingles > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n_docs"), F.first("sig").alias("sig")))
     sigs = classes.select("node", "sig")
-    members = classes.select("node", "n_docs", F.explode(band_keys(plan)).alias("band"))
+    members = classes.select("node", "n_docs", F.posexplode(band_keys(plan)).alias("number", "band"))
     leaders = members.groupBy("band").agg(F.max(F.struct(F.col("n_docs"), (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = written(members.join(leaders.select("band", (-F.col("top.minus")).alias("leader"), "size"), "band").select("band", "node", "leader", "size"))
+    crowded = written(members.join(leaders.select("band", (-F.col("top.minus")).alias("leader"), "size"), "band").select("band", "number", "node", "leader", "size"))
     wanted = crowded.select(F.col("node").alias("doc")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = written(full_sets(texts.join(broadcast_if_small(written(wanted), BROADCAST_ROWS), "doc").where("text is not null").select("doc", "text"), plan).where("octet_length(shingles) > 0"))
@@ -259,12 +337,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     entry = F.struct("node", "comp", "sig").alias("entry")
     place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     all_blocks = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = rows.where("left_over").select("band", place("of_left").alias("i"), all_blocks("of_right").alias("j"), entry).groupBy("band", "i", "j").agg(F.collect_list("entry").alias("left"))
+    left = rows.where("left_over").select("band", "number", place("of_left").alias("i"), all_blocks("of_right").alias("j"), entry).groupBy("band", "number", "i", "j").agg(F.collect_list("entry").alias("left"))
     right = rows.select("band", place("of_right").alias("j"), all_blocks("of_left").alias("i"), entry).groupBy("band", "i", "j").agg(F.collect_list("entry").alias("right"))
     small_batches(spark, 16)  # a row has up to two blocks
-    rest = written(cross_pairs(left.join(right, ["band", "i", "j"]).select("left", "right"), plan))
+    work = written(cross_pairs(left.join(right, ["band", "i", "j"]), plan))
     small_batches(spark, 500)
-    links = first.union(confirmed(rest, sets, plan))
+    links = first.union(confirmed_blocks(work, sets, plan))
     final = components(links)
     named_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found = sig.join(named_class, "digest", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
