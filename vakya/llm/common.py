@@ -49,9 +49,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint only where a count shows that ``df`` has at most ``rows`` rows; otherwise Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int, items: str | None = None) -> DataFrame:
+    """A broadcast hint only where a count shows that ``df`` has at most ``rows`` rows; otherwise Spark shuffles.
+
+    With ``items``, the elements of that list column count too, so that long lists are bounded as well.
+    """
+    if items is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n = df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(items)), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:

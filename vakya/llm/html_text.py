@@ -236,7 +236,7 @@ def extract_text(pages: DataFrame, tree: StyleTree = StyleTree(), id_col: str =
     importance = style_importance(sited, tree)
     low = importance.where((F.col("n_pages") >= tree.least_pages) & (F.col("importance") < tree.least_importance))
     lists = written(low.groupBy("site").agg(F.collect_list("path").alias("low")))
-    wide = sited.join(broadcast_if_small(lists, 100_000), "site", "left").select("id", "url", "html", "low")
+    wide = sited.join(broadcast_if_small(lists, 1_000_000, "low"), "site", "left").select("id", "url", "html", "low")
     kinds = dict(sited.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

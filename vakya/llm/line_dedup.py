@@ -20,6 +20,8 @@ from .common import broadcast_if_small, small_batches, strings, written
 
 #: Rows up to which keys are broadcast; beyond, Spark shuffles.
 BROADCAST_ROWS = 400_000
+#: The same for lists of chunks, by their elements of less than 80 bytes.
+BROADCAST_ITEMS = 1_000_000
 #: Chunks that meet in one group when their bytes are compared.
 FAN = 256
 MASK = (1 << 64) - 1
@@ -89,7 +91,7 @@ def fetch(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> Data
     """(doc, line, n_lines, hash, groups, first, data): the bytes of the chunks in ``asked(doc, line, n_lines, hash, groups, first)``."""
     lists = written(asked.groupBy("doc").agg(F.collect_list(F.struct("line", "n_lines", "hash", "groups", "first")).alias("chunks")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text is not null")
-    wide = texts.join(broadcast_if_small(lists, BROADCAST_ROWS), "doc").select("doc", "text", "chunks")
+    wide = texts.join(broadcast_if_small(lists, BROADCAST_ITEMS, "chunks"), "doc").select("doc", "text", "chunks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +136,7 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
     """
     gone = repeated_chunks(docs, rule, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("line", "n_lines")).alias("spans"))
     mark, spans = "__removed_doc", "__removed_spans"
-    wide = docs.join(broadcast_if_small(written(gone.select(F.col("doc").alias(mark), F.col("spans").alias(spans))), BROADCAST_ROWS), F.col(id_col).cast("long") == F.col(mark), "left").drop(mark)
+    wide = docs.join(broadcast_if_small(written(gone.select(F.col("doc").alias(mark), F.col("spans").alias(spans))), BROADCAST_ITEMS, spans), F.col(id_col).cast("long") == F.col(mark), "left").drop(mark)
     numbers = F.flatten(F.transform(F.coalesce(F.col(spans), F.expr("cast(array() as array<struct<line:int,n_lines:int>>)")), lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1)))
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n"))
