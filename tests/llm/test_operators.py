@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
@@ -235,6 +236,29 @@ def test_line_dedup(docs, none, spark):
     assert line_dedup.dedup_lines(none).collect() == []
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Repeated passages of 51 to 70 words go whole, whatever their lines, and nothing else goes."""
+    rng, rows, want = random.Random(8), [], {}
+    line = lambda n: " ".join(str(rng.randrange(10**8)) for _ in range(n))
+    for k in range(40):
+        size, words = rng.randrange(51, 71), []
+        while sum(words) < size:
+            words.append(rng.randrange(7, 36))
+        shared = [line(n) for n in words]
+        for i in (2 * k, 2 * k + 1):
+            head, tail = ([line(rng.randrange(7, 36)) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+            rows.append((i, "\n".join([*head, *shared, *tail])))
+            want[i] = "\n".join([*head, *tail]) if i % 2 else rows[-1][1]
+    again = [line(20) for _ in range(4)]  # within one document: the first stays, also where copies overlap
+    rows.append((900, "\n".join(again * 3)))
+    want[900] = "\n".join(again)
+    rows.append((901, "\n".join(["w x y z a b c"] * 50)))
+    want[901] = "\n".join(["w x y z a b c"] * 8)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
+    wrong = [i for i in want if got[i].text != want[i]]
+    assert wrong == [] and all(r.n_removed_lines == r.n_lines - len(want[i].split("\n")) for i, r in got.items())
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/b/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", prose(1)), (3, "a/y.txt", prose(2)), (4, "a/b/own.txt", prose(3) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(4)),

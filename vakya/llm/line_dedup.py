@@ -1,17 +1,21 @@
 """Removing passages of several lines that repeat across the corpus.
 
 Lines are hashed, and a rolling hash over neighbouring line hashes chooses where chunks end, so the same passage falls
-into the same chunks wherever it stands in a document. A long line (a paragraph) always is a chunk. Chunks that occur
-more than once are fetched and compared byte by byte with the first one (by document id, then place); those that are
-equal to it are removed.
+into the same chunks wherever it stands in a document. A long line (a paragraph) always is a chunk. Besides, from each
+line on and up to each line, the fewest lines that exceed 50 words are a chunk too (a window): every repeated run of
+whole lines of more than 50 words is a union of windows that repeat, so it goes as a whole wherever boundaries fall. Of
+the chunks that occur earlier too, the fewest that cover a document's repeated lines are fetched and compared byte by
+byte with the first one (by document id, then place); those that are equal to it are removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,8 @@ class Chunking:
     #: Chunks of several lines, and of one line, are compared from so many words on.
     least_words: int = 8
     least_words_alone: int = 15
+    #: A repeated run of lines with more words than this goes as a whole.
+    passage_words: int = 50
 
 
 def chunk_spans(lines: list[bytes], rule: Chunking) -> list[tuple[int, int, int]]:
@@ -69,27 +75,66 @@ def chunk_spans(lines: list[bytes], rule: Chunking) -> list[tuple[int, int, int]
     return found
 
 
+def window_spans(lines: list[bytes], rule: Chunking) -> set[tuple[int, int]]:
+    """(first line, number of lines) of the fewest lines that exceed ``passage_words`` from each line on, and up to each line.
+
+    Of a longer run, those from its lines on cover all up to the end of the last that fits, and the one up to its end
+    the rest. Lines without words neither start nor end a window.
+    """
+    words = [(i, n) for i, n in enumerate(len(x.split()) for x in lines) if n]
+    sums = [0, *accumulate(n for _, n in words)]
+    found, start, stop = set(), 0, 0
+    for k in range(len(words)):
+        while stop < len(words) and sums[stop] - sums[k] <= rule.passage_words:
+            stop += 1
+        if sums[stop] - sums[k] <= rule.passage_words:
+            break
+        found.add((words[k][0], words[stop - 1][0] + 1 - words[k][0]))
+    for k in range(1, len(sums)):
+        while sums[k] - sums[start + 1] > rule.passage_words:
+            start += 1
+        if sums[k] - sums[start] > rule.passage_words:
+            found.add((words[start][0], words[k - 1][0] + 1 - words[start][0]))
+    return found
+
+
+def fewest(spans: list[tuple[int, int]]) -> list[int]:
+    """The places in ``spans``, as (first line, line after the last), of the fewest that cover the same lines."""
+    taken, best, reach = [], None, 0  # line ``reach`` is the first that ``taken`` doesn't cover
+    for k in sorted(range(len(spans)), key=lambda k: spans[k]):
+        start, stop = spans[k]
+        if start > reach:
+            if best is not None:
+                taken.append(best)
+                reach, best = spans[best][1], None
+            reach = max(reach, start)
+        if stop > (reach if best is None else spans[best][1]):
+            best = k
+    return taken if best is None else [*taken, best]
+
+
 def find_chunks(docs: DataFrame, rule: Chunking, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, n_lines, hash): the chunks that are long enough; ``hash`` has 128 bits."""
+    """(doc, line, n_lines, hash): the windows, and the chunks that are long enough; ``hash`` has 128 bits, of those of the lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, first, count, digest = [], [], [], []
             for k, text in enumerate(strings(batch.column(1))):
                 lines = text.encode("utf-8", "replace").split(b"\n")
-                for start, n, _ in chunk_spans(lines, rule):
+                each = b"".join(map(xxhash.xxh3_128_digest, lines))
+                for start, n in window_spans(lines, rule).union(x[:2] for x in chunk_spans(lines, rule)):
                     rows.append(k)
                     first.append(start)
                     count.append(n)
-                    digest.append(xxhash.xxh3_128_digest(b"\n".join(lines[start : start + n])))
+                    digest.append(xxhash.xxh3_128_digest(each[16 * start : 16 * (start + n)]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())], ["doc", "line", "n_lines", "hash"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col)).where("doc is not null").mapInArrow(run, "doc long, line int, n_lines int, hash binary")
 
 
 def fetch(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> DataFrame:
-    """(doc, line, n_lines, hash, groups, first, data): the bytes of the chunks in ``asked(doc, line, n_lines, hash, groups, first)``."""
-    lists = written(asked.groupBy("doc").agg(F.collect_list(F.struct("line", "n_lines", "hash", "groups", "first")).alias("chunks")))
+    """(doc, line, n_lines, cut, hash, groups, first, data): the bytes of the chunks in ``asked(doc, line, n_lines, cut, hash, groups, first)``."""
+    lists = written(asked.groupBy("doc").agg(F.collect_list(F.struct("line", "n_lines", "cut", "hash", "groups", "first")).alias("chunks")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("text is not null")
     wide = texts.join(broadcast_if_small(lists, BROADCAST_ITEMS, "chunks"), "doc").select("doc", "text", "chunks")
 
@@ -105,26 +150,54 @@ def fetch(docs: DataFrame, id_col: str, text_col: str, asked: DataFrame) -> Data
                         data.append(b"\n".join(lines[c["line"] : c["line"] + c["n_lines"]]))
             column = lambda name, kind: pa.array([c[name] for c in chunks], kind)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), column("line", pa.int32()), column("n_lines", pa.int32()), column("hash", pa.binary()), column("groups", pa.int32()), column("first", pa.bool_()), pa.array(data, pa.binary())],
-                ["doc", "line", "n_lines", "hash", "groups", "first", "data"],
+                [batch.column(0).take(pa.array(rows, pa.int64())), column("line", pa.int32()), column("n_lines", pa.int32()), column("cut", pa.int32()), column("hash", pa.binary()), column("groups", pa.int32()), column("first", pa.bool_()), pa.array(data, pa.binary())],
+                ["doc", "line", "n_lines", "cut", "hash", "groups", "first", "data"],
             )
 
-    return wide.mapInArrow(run, "doc long, line int, n_lines int, hash binary, groups int, first boolean, data binary")
+    return wide.mapInArrow(run, "doc long, line int, n_lines int, cut int, hash binary, groups int, first boolean, data binary")
+
+
+def cover(later: DataFrame) -> DataFrame:
+    """(doc, line, n_lines, hash, head, cut): of ``later(doc, line, n_lines, hash, head)`` the fewest that cover a document's repeated lines.
+
+    ``cut`` is the first line that may go: lines which the first occurrence in the same document has as well stay.
+    """
+    cut = F.when(F.col("head.doc") == F.col("doc"), F.greatest("line", F.col("head.line") + F.col("head.n_lines"))).otherwise(F.col("line"))
+    lists = later.groupBy("doc").agg(F.collect_list(F.struct(cut.alias("cut"), (F.col("line") + F.col("n_lines")).alias("stop"), F.struct("line", "n_lines", "hash", "head").alias("chunk"))).alias("chunks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            inner, rows, taken, at = column.flatten(), [], [], 0
+            spans = list(zip(inner.field("cut").to_pylist(), inner.field("stop").to_pylist(), strict=True))
+            for k, n in enumerate(pc.list_value_length(column).to_pylist()):
+                found = fewest(spans[at : at + n])
+                rows += [k] * len(found)
+                taken += [at + i for i in found]
+                at += n
+            inner = inner.take(pa.array(taken, pa.int64()))
+            chunk = inner.field("chunk")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(chunk.field(c) for c in ("line", "n_lines", "hash", "head")), inner.field("cut")], ["doc", "line", "n_lines", "hash", "head", "cut"])
+
+    return lists.mapInArrow(run, "doc long, line int, n_lines int, hash binary, head struct<doc:long,line:int,n_lines:int>, cut int")
 
 
 def repeated_chunks(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, line, n_lines) of each chunk whose bytes occur earlier in the corpus. Rows with one id count as one document."""
+    """(doc, line, n_lines): runs of lines whose bytes occur earlier in the corpus. Rows with one id count as one document."""
     small_batches(docs.sparkSession)
     chunks = written(find_chunks(docs, rule, id_col, text_col))
     # The counts are pre-aggregated before the shuffle, so a chunk with very many copies is no hot key here.
     groups = chunks.groupBy("hash").agg(F.min(F.struct("doc", "line", "n_lines")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = written(groups.select("hash", "head", F.ceil(F.col("n") / FAN).cast("int").alias("groups")))
-    keyed = chunks.join(broadcast_if_small(groups, BROADCAST_ROWS), "hash")
-    asked = keyed.select("doc", "line", "n_lines", "hash", "groups", ((F.col("doc") == F.col("head.doc")) & (F.col("line") == F.col("head.line"))).alias("first"))
-    got = written(fetch(docs, id_col, text_col, asked.distinct()))
+    keyed = chunks.join(broadcast_if_small(written(groups.select("hash", "head")), BROADCAST_ROWS), "hash")
+    picks = written(cover(keyed.where((F.col("doc") != F.col("head.doc")) | (F.col("line") != F.col("head.line")))))
+    used = written(picks.groupBy("hash").agg(F.min("head").alias("head"), F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("groups")))
+    mine = picks.join(broadcast_if_small(used.select("hash", "groups"), BROADCAST_ROWS), "hash").select("doc", "line", "n_lines", "cut", "hash", "groups", F.lit(False).alias("first"))
+    asked = mine.unionByName(used.select("head.doc", "head.line", "head.n_lines", F.col("head.line").alias("cut"), "hash", "groups", F.lit(True).alias("first")))
+    got = written(fetch(docs, id_col, text_col, asked))
     heads = got.where("first").dropDuplicates(["hash"]).select("hash", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.col("data").alias("head_data"))
     later = got.where("not first").withColumn("salt", F.pmod(F.xxhash64("doc", "line"), F.col("groups")).cast("int"))
-    return later.join(heads, ["hash", "salt"]).where("data = head_data").select("doc", "line", "n_lines").distinct()
+    equal = later.join(heads, ["hash", "salt"]).where("data = head_data").select("doc", "line", "n_lines", "cut")
+    return equal.select("doc", F.col("cut").alias("line"), (F.col("line") + F.col("n_lines") - F.col("cut")).alias("n_lines")).distinct()
 
 
 def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
@@ -137,7 +210,7 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
     gone = repeated_chunks(docs, rule, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("line", "n_lines")).alias("spans"))
     mark, spans = "__removed_doc", "__removed_spans"
     wide = docs.join(broadcast_if_small(written(gone.select(F.col("doc").alias(mark), F.col("spans").alias(spans))), BROADCAST_ITEMS, spans), F.col(id_col).cast("long") == F.col(mark), "left").drop(mark)
-    numbers = F.flatten(F.transform(F.coalesce(F.col(spans), F.expr("cast(array() as array<struct<line:int,n_lines:int>>)")), lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1)))
+    numbers = F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(spans), F.expr("cast(array() as array<struct<line:int,n_lines:int>>)")), lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1))))  # spans can overlap
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n"))
     if report:
