@@ -80,3 +80,16 @@ def test_batch_equals_stream(spark, tmp_path):
         q = stream(source, *args).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert {tuple(r) for r in spark.table(name).collect()} == want
+
+
+def test_leaks_in_whole_texts(spark, tmp_path):
+    """Runs of an item's later lines, inside a line of a document, and items of less than 13 words."""
+    from vakya.plans import registry
+
+    item = [f"w{i}" for i in range(30)]
+    items = [(1, " ".join(item[:5]) + "\n" + " ".join(item[5:])), (2, "short item"), (3, None), (4, "  ")]
+    texts = ["x " + " ".join(item[10:25]) + " y", "a short\nitem b", "xshort item", " ".join(item[10:22]), None, "", " ".join(item)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["val_leak_passages"](spark, str(tmp_path)).collect()
+    assert sorted((r.item_id, r.doc_id, r.found, r.runs) for r in got) == [(1, 0, 3, 18), (1, 6, 18, 18), (2, 1, 1, 1)]

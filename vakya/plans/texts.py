@@ -224,6 +224,36 @@ def leak_into_documents(t: Tables) -> DataFrame:
     return first.join(lines, "line").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
 
 
+#: Words of a run that an item and a document share; a shorter item is one run.
+RUN = 13
+#: Runs of items up to which they are broadcast; beyond, Spark shuffles.
+BROADCAST_RUNS = 400_000
+
+
+@query("val_leak_passages", r"""
+    with b as (select item_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') as w from benchmark), d as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') as w from documents),
+    i as (select item_id, w, least(13, len(w)) as n from b where len(w) > 0), r as (select distinct item_id, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as run from i),
+    e as (select distinct doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) as run from d join (select distinct n from i) on len(w) >= n),
+    t as (select item_id, count(*) as runs from r group by 1)
+    select item_id, doc_id, count(*) as found, any_value(runs) as runs from r join e using (run) join t using (item_id) group by 1, 2""")
+def leak_passages(t: Tables) -> DataFrame:
+    """How many of an item's runs of 13 words stand in a document, over the whole texts of both; by hashes, then confirmed in the text."""
+    words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda x: x != "")
+    hashed = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.xxhash64(F.slice("w", k, n)))
+    items = t.benchmark.where("item_id is not null").select("item_id", words.alias("w")).where("size(w) > 0").withColumn("n", F.least(F.lit(RUN), F.size("w")))
+    run = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda k: F.struct(F.xxhash64(F.slice("w", k, F.col("n"))).alias("h"), F.array_join(F.slice("w", k, F.col("n")), " ").alias("run")))
+    runs = items.select("item_id", F.explode(run).alias("r")).select("item_id", "r.h", "r.run").distinct()
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS else df
+    sizes = sorted(r.n for r in items.select("n").distinct().collect())  # 13 at most
+    docs = t.documents.where("doc_id is not null").select("doc_id", words.alias("w"))
+    all_sizes = F.concat(*[F.when(F.size("w") >= n, hashed(n)).otherwise(F.expr("cast(array() as array<bigint>)")) for n in sizes]) if sizes else F.expr("cast(array() as array<bigint>)")
+    hits = docs.select("doc_id", F.explode(F.array_distinct(all_sizes)).alias("h")).join(small(runs), "h").select("doc_id", "item_id", "run").distinct()
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "run")).alias("hits"))
+    text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    sure = docs.join(lists, "doc_id").select("doc_id", F.explode(F.filter("hits", lambda x: text.contains(F.concat(F.lit(" "), x["run"], F.lit(" "))))).alias("x")).select("doc_id", "x.*").distinct()
+    return sure.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("found")).join(runs.groupBy("item_id").agg(F.count(F.lit(1)).alias("runs")), "item_id")
+
+
 @query("val_report", """
     with f as (select o_orderkey, 'cheap' as c, o_custkey from orders where o_totalprice < 5000 union all select o_orderkey, 'pending', o_custkey from orders where o_orderstatus = 'P' union all select o_orderkey, 'late', o_custkey from orders where o_orderdate > timestamp '2000-01-01')
     select c as rule, count(*) as rows_, count(distinct o_custkey) as customers, array_to_string(list_sort(list(o_orderkey))[1:5], ',') as examples from f group by 1""")
