@@ -176,6 +176,21 @@ def test_license_scores():
     assert license_scan.scan("", m, limits) == (None, None, None, 0.0)
 
 
+def test_wrapped_licenses():
+    m, limits = license_scan.Matcher(1000, {"the": 900, "under": 500, "to": 900, "and": 900, "of": 900, "in": 900}), license_scan.ScanLimits()
+    found = lambda x: license_scan.scan(x, m, limits)[0]
+    mit = "Copyright (c) 2020 Some One. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version %s of the License, or\n# (at your option) any later version."
+    bsd = "/* Copyright 2020. All rights reserved.\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met: 1. */"
+    assert found(mit) == found(mit.replace("\n", " ")) == "MIT"
+    assert found(gpl % 3) == "GPL-3.0" and found(gpl % 2) == "GPL-2.0" and found((gpl % 3).replace("GNU", "GNU Lesser")) == "LGPL-3.0"
+    assert found(bsd) == "BSD-3-Clause"
+    assert found("Licensed under the MIT License. See LICENSE in the project root for license information.") == "MIT"
+    assert found("x = 1  // SPDX-License-Identifier: MIT") == "MIT" and found("# SPDX-License-Identifier: GPL-2.0-or-later\ncode") == "GPL-2.0"
+    assert found("# SPDX-License-Identifier: Zlib\ncode") is None
+    assert found("prose and more. All rights\nreserved. prose") == "proprietary"
+
+
 def test_tokenizer_pieces():
     from tokenizers import Tokenizer
 

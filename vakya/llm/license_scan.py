@@ -1,7 +1,8 @@
 """Licences of files by TF-IDF cosine to templates, and by the nearest directory that has a licence file.
 
-Lines that hold any word typical of licences are compared with all templates as sparse TF-IDF vectors; document
-frequencies are counted over the whole corpus, for the words of the templates only, so their table is bounded. A file
+Lines that hold any word typical of licences are compared with all templates as sparse TF-IDF vectors, and so is every
+window around such a word that is as long as a template, across lines, so that wrapped headers and notices within longer
+lines or texts are found; document frequencies are counted over the whole corpus, for the words of the templates only, so their table is bounded. A file
 whose matched lines make up a good part of it, or which is named like one, is the licence file of its directory. A
 file without a licence of its own takes that of the nearest directory above it, found by joins on paths.
 """
@@ -38,10 +39,21 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")),
+    *((name, f"SPDX-License-Identifier: {name}{end}") for name in ("GPL-3.0", "GPL-2.0", "LGPL-3.0") for end in ("", "-only", "-or-later")),
     ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 )
 CUE = re.compile(r"licen[sc]|copyright|rights reserved|hereby granted|redistribut|public domain|spdx", re.I)
+#: The same for one word, where a notice may be wrapped.
+CUE_WORD = re.compile(r"licen[sc]|copyright|reserved|granted|redistribut|domain|spdx", re.I)
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 LICENCE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
@@ -68,9 +80,13 @@ class Matcher:
         self.idf = {t: math.log((n_docs + 1) / (df.get(t, 0) + 1)) + 1 for t in VOCABULARY}
         self.other = math.log(n_docs + 1) + 1
         self.templates = [(name, self.vector(text)) for name, text in TEMPLATES]
+        self.lengths = [len(terms(text)) for _, text in TEMPLATES]
 
     def vector(self, text: str) -> dict[str, float]:
-        found = {t: (1 + math.log(n)) * self.idf.get(t, self.other) for t, n in Counter(terms(text)).items()}
+        return self.weights(terms(text))
+
+    def weights(self, words: list[str]) -> dict[str, float]:
+        found = {t: (1 + math.log(n)) * self.idf.get(t, self.other) for t, n in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in found.values()))
         return {t: x / norm for t, x in found.items()}
 
@@ -81,21 +97,54 @@ class Matcher:
         return min(scores, key=lambda s: (-round(s[0], 12), s[1]))
 
 
+    def windows(self, words: list[str], least: float) -> Iterator[tuple[float, str, int, int]]:
+        """(cosine, licence, from, to) of the windows of terms around a cue that are as long as a template and reach ``least``."""
+        cues = [i for i, w in enumerate(words) if CUE_WORD.search(w)]
+        mass = [self.idf.get(w, self.other) ** 2 for w in words]
+        for (name, v), size in zip(self.templates, self.lengths, strict=True):
+            starts = {min(s, max(0, len(words) - size)) for c in cues for s in range(max(0, c - size + 1), c + 1)}
+            for s in sorted(starts):
+                part = words[s : s + size]
+                # The cosine squared is at most the share of a template's words in the mass. A word's weight is between
+                # 0.5 and 1.5 times its raw mass for counts up to 40, so less than 0.3 of it can't reach 0.75.
+                hit = sum(m for w, m in zip(part, mass[s : s + size], strict=True) if w in v)
+                if hit < 0.5 * least * least * sum(mass[s : s + size]):
+                    continue
+                found = self.weights(part)
+                score = sum(x * found.get(t, 0.0) for t, x in v.items())
+                if score >= least:
+                    yield score, name, s, s + len(part)
+
+
 def scan(text: str, matcher: Matcher, limits: ScanLimits) -> tuple[str | None, float | None, int | None, float]:
-    """(licence, score, line, share of the words in matched lines): the best match of the text, the first line of those that tie."""
-    if not CUE.search(text):
+    """(licence, score, line, share of the words in matched lines and windows): the best match of the text, the first line of those that tie.
+
+    A reservation of rights decides only where no licence is found, as licences often stand below one.
+    """
+    if not CUE_WORD.search(text):
         return None, None, None, 0.0
-    found, words = [], 0
+    found, matched, at, where, n_words = [], set(), [], [], 0
+    words: list[str] = []
     for i, line in enumerate(text.split("\n")):
+        pieces = line.split()
+        for k, piece in enumerate(pieces, n_words):
+            here = terms(piece)
+            words += here
+            at += [k] * len(here)
+            where += [i] * len(here)
         if CUE.search(line):
             score, name = matcher.best(line)
             if score >= limits.least_score:
-                found.append((-round(score, 12), i, name))
-                words += len(line.split())
+                found.append((name == "proprietary", -round(score, 12), i, name))
+                matched.update(range(n_words, n_words + len(pieces)))
+        n_words += len(pieces)
+    for score, name, start, stop in matcher.windows(words, limits.least_score):
+        found.append((name == "proprietary", -round(score, 12), where[start], name))
+        matched.update(at[start:stop])
     if not found:
         return None, None, None, 0.0
-    score, line, name = min(found)
-    return name, -score, line, words / max(1, len(text.split()))
+    _, score, line, name = min(found)
+    return name, -score, line, len(matched) / max(1, n_words)
 
 
 def document_frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
