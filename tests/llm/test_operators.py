@@ -24,7 +24,7 @@ def prose(seed, n=80):
 LONG = prose(1, 30_000)
 COPY = prose(2)
 NEAR = COPY.replace("w", "W", 3) + " tail"
-TEXTS = [None, "", "   ", "one", "one two", COPY, COPY, NEAR, "é漢😀 " * 3, LONG, "x\n\ny  z ", prose(3), "a b c d " * 40]
+TEXTS = [None, "", "   ", "one", "one two", COPY, COPY, NEAR, "é漢😀 " * 3, LONG, "x\n\ny  z ", prose(3), "a b c d " * 40, "see <|endoftext|> and<|endoftext|>, so\n\nit. goes,\nOn!\n"]
 
 
 @pytest.fixture(scope="module")
@@ -118,8 +118,7 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    library = Tokenizer.from_file(path)  # with its defaults
     rows = packing.pack(docs, path, window=4096, with_ids=True).collect()
     stream = collections.defaultdict(dict)
     tokens = collections.Counter()
@@ -141,6 +140,26 @@ def test_packing(docs, none):
     assert packing.pack(none, path).collect() == []
 
 
+@pytest.mark.parametrize("most", [packing.QUEUES, 2])
+def test_packing_targets(spark, monkeypatch, most):
+    """Windows hold the target shares, also where sources without a target share queues."""
+    monkeypatch.setattr(packing, "QUEUES", most)
+    targets = {"a": 8, "b": 1, "c": 1}
+    rows = [(i, prose(i, 60), s) for i, s in enumerate(["a"] * 60 + ["b"] * 20 + ["c"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(df, P.path("byte_bpe_50k.json"), window=2048, targets=targets).collect()
+    first = collections.Counter()
+    for r in got:
+        if r.sequence_id < 5:
+            first[r.sequence_id, r.queue] += r.length
+    for k in range(5):
+        shares = [first[k, q] / 2048 for q in "abc"]
+        assert all(abs(x - y) < 0.002 for x, y in zip(shares, (0.8, 0.1, 0.1), strict=True))
+    others = packing.pack(df, P.path("byte_bpe_50k.json"), window=2048, targets={"a": 8})
+    assert {r.queue for r in others.select("queue").distinct().collect()} >= {"a"}
+    assert others.where("doc_tokens = 0").count() == 0 and others.select("doc_id").distinct().count() == 100
+
+
 def test_bpe(docs, none):
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
     with open(ranks, "rb") as f:

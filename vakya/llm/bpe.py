@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, strings
-from .pieces import PieceIndex
+from .pieces import PieceIndex, spread
 
 #: Text bytes that are encoded together; a longer text is encoded whole.
 PART_BYTES = 6 << 20
@@ -202,13 +202,6 @@ class TokenBytes:
         return self.data[spread(self.start[ids], self.length[ids])].tobytes()
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The indexes start, start + 1, ... of all runs one after another."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-
-
 def encode_texts(texts: list[str], merges: MergeTable, pattern: regex.Pattern) -> Iterator[np.ndarray]:
     """The ids of each text; the distinct words of all of them are merged together."""
     index = PieceIndex()
