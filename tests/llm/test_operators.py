@@ -186,6 +186,45 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).collect() == []
 
 
+def test_style_tree_against_brute_force(spark):
+    rng = random.Random(4)
+    pages = []
+    for i in range(60):
+        inner = "".join(f"<p>{rng.choice('abcdefgh')}</p>" for _ in range(rng.randrange(1, 4)))
+        pages.append((rng.choice("st"), f"<body><div class=n>{rng.choice(['x', 'y', 'z<i>z</i>', 'z<br>z'])}</div><article>{inner} text {i % 40}</article></body>"))
+    df = spark.createDataFrame(pages, "host string, html string").selectExpr("xxhash64(host) site", "xxhash64('d') domain", "html", "host")
+    sites = {r.site: r.host for r in df.collect()}
+    tree = html_text.StyleTree()
+    got = {(sites[r.site], r.path): r for r in html_text.style_importance(df, tree).collect()}
+
+    def importances(chosen):
+        shapes, content, outside = (collections.defaultdict(set) for _ in range(3))
+        for host, x in chosen:
+            page = html_text.Page(x)
+            mark = page.fingerprint()
+            for path, is_content, feature, out in page.features():
+                (content if is_content else shapes)[path].add((host, feature, mark))
+                if out and not is_content:
+                    outside[path].add((host, feature, mark))
+        found = {}
+        for path, seen in shapes.items():
+            m, parts = len(seen), []
+            for values in (seen, content[path]):
+                k = collections.Counter(f for _, f, _ in values).values()
+                parts.append(1 - sum(n * math.log(n) for n in k) / sum(k) / math.log(m) if m > 1 else 1.0)
+            found[path] = m, max(0.0, parts[1]), (1 - tree.content_weight) * parts[0] + tree.content_weight * max(0.0, parts[1]), len(outside[path])
+        return found
+
+    whole = importances(pages)
+    for host in "st":
+        for path, (m, content, own, out) in importances([x for x in pages if x[0] == host]).items():
+            dm = min(whole[path][0], tree.domain_pages)
+            want = (m * own + dm * whole[path][2] + tree.prior_pages * (1 - tree.outside * out / m)) / (m + dm + tree.prior_pages)
+            r = got.pop((host, path))
+            assert r.n_pages == m and math.isclose(r.content, content, abs_tol=1e-9) and math.isclose(r.importance, want, abs_tol=1e-9)
+    assert not got
+
+
 def test_katz(docs, none):
     got = katz.score_corpus(docs).collect()
     assert ids(got) == WANT_IDS

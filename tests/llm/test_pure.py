@@ -3,6 +3,7 @@
 import collections
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -93,12 +94,25 @@ def test_html():
     page = lambda x: html_text.Page(x).text()
     assert page("") == ""
     assert page("<nav>a</nav><article><h1>T &amp; t</h1><p>one<br>two  <b>three<p>four</article><footer>f</footer>") == "T & t\n\none two three\n\nfour"
-    assert page("<div class='cookie-notice'>c</div><main><p>x</p><div id=comments><p>y</p></div><form>z</form></main>") == "x"
+    assert page("<main><p>x</p><div id=comments><p>y</p></div><form>z</form></main>") == "x"
+    noted = html_text.Page("<div class='notice'>c</div><main><p>x</p></main>")
+    assert noted.text() == "c\n\nx"  # only the tree knows that it repeats
+    assert html_text.Page("<div class='notice'>c</div><main><p>x</p></main>", {noted.blocks[0][4]}).text() == "x"
+    assert html_text.Page("<main><p>x</p></main>", {b[4] for b in noted.blocks}).text() == "x"  # nothing else is left
     assert page("<script>var a='<p>no</p>'</script><p>yes<!-- no --></p>") == "yes"
     assert page("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>") == "a\n\nb\n\nc\n\nd"
     assert page("a < b <unclosed") == "a < b <unclosed"
 
 
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div>x</x>", "<b><p>x</q>", "<a \"'>", "<!", "<li><b>x"])
+def test_long_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    page = html_text.Page(part * (300_000 // len(part)))
+    list(page.features())
+    page.text()
+    assert time.process_time() - began < 10
+
+
 def test_chunks_are_shift_resistant():
     rng = random.Random(3)
     line = lambda n=16: " ".join(str(rng.randrange(10**6)) for _ in range(n)).encode()
