@@ -311,12 +311,52 @@ def test_line_dedup_of_short_lines(spark):
     rows.append((900, "\n".join(again * 3)))
     want[900] = "\n".join(again)
     rows.append((901, "\n".join(["w x y z a b c"] * 50)))
-    want[901] = "\n".join(["w x y z a b c"] * 8)
+    want[901] = "\n".join(["w x y z a b c"] * 3)
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
     wrong = [i for i in want if got[i].text != want[i]]
     assert wrong == [] and all(r.n_removed_lines == r.n_lines - len(want[i].split("\n")) for i, r in got.items())
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_line_dedup_recall(spark, monkeypatch, broadcast):
+    """All lines of windows of three lines and eight words that occurred before go, and no line that occurs once."""
+    if not broadcast:
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 1)
+        monkeypatch.setattr(line_dedup, "BROADCAST_ITEMS", 1)
+    rng = random.Random(11)
+    line = lambda: " ".join(str(rng.randrange(10**7)) for _ in range(rng.randrange(1, 9)))
+    pool = [line() for _ in range(60)]
+    shared = [[rng.choice(pool) for _ in range(rng.randrange(3, 8))] for _ in range(30)]
+    docs = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            lines += rng.choice(shared) if rng.random() < 0.5 else [line() for _ in range(rng.randrange(1, 4))]
+        docs.append((i, "\n".join(lines)))
+    times = collections.Counter(x for _, t in docs for x in t.split("\n"))
+    seen, wanted = set(), collections.defaultdict(set)
+    for i, t in docs:
+        lines, first = t.split("\n"), set()
+        windows = [(k, tuple(lines[k : k + 3])) for k in range(len(lines) - 2) if sum(len(x.split()) for x in lines[k : k + 3]) >= 8]
+        for k, w in windows:
+            if w in seen:
+                wanted[i] |= {k, k + 1, k + 2}
+            else:
+                first |= {k, k + 1, k + 2}
+                seen.add(w)
+        if len({w for _, w in windows}) < len(windows):
+            wanted[i] -= first  # repeats within a document: what the first one has stays
+    got = {r.doc_id: collections.Counter(r.text.split("\n") if r.text else []) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    total = missed = 0
+    for i, t in docs:
+        lines = t.split("\n")
+        left = collections.Counter(x for k, x in enumerate(lines) if k not in wanted[i])
+        total += len(wanted[i])
+        missed += sum((got[i] - left).values())
+        assert all(got[i][x] for x in lines if times[x] == 1)
+    assert total > 300 and missed <= 0.02 * total
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/b/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", prose(1)), (3, "a/y.txt", prose(2)), (4, "a/b/own.txt", prose(3) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(4)),

@@ -122,21 +122,22 @@ def test_chunks_are_shift_resistant():
     for _ in range(2):
         lines = [line() for _ in range(rng.randrange(1, 9))] + shared + [line() for _ in range(5)]
         sets.append({b"\n".join(lines[s : s + n]) for s, n, _ in line_dedup.chunk_spans(lines, rule)})
-    assert sum(x.count(b"\n") + 1 for x in sets[0] & sets[1]) >= 30
+    assert sum(x.count(b"\n") + 1 for x in sets[0] & sets[1]) >= 20
     assert line_dedup.chunk_spans([b""], rule) == []
 
 
 def test_windows_cover_long_runs():
     rng, rule = random.Random(6), line_dedup.Chunking()
     for _ in range(500):
-        lines = [b" ".join([b"w"] * rng.choice([0, 1, 7, 20, 35, 60])) for _ in range(rng.randrange(12))]
+        lines = [b" ".join([b"w"] * rng.choice([0, 1, 2, 7, 20, 35, 60])) for _ in range(rng.randrange(12))]
         words = [len(x.split()) for x in lines]
+        enough = lambda a, b: sum(words[a:b]) > 50 or (sum(n > 0 for n in words[a:b]) >= 3 and sum(words[a:b]) >= 8)  # noqa: B023, E731
         spans = [(i, i + n) for i, n in line_dedup.window_spans(lines, rule)]
-        assert all(sum(words[i:j]) > 50 for i, j in spans)
+        assert all(enough(i, j) for i, j in spans)
         for a in range(len(lines)):
             for b in range(a + 1, len(lines) + 1):
                 inside = {x for i, j in spans if a <= i and j <= b for x in range(i, j)}
-                assert sum(words[a:b]) <= 50 or all(x in inside for x in range(a, b) if words[x])
+                assert not enough(a, b) or all(x in inside for x in range(a, b) if words[x])
         taken = [spans[k] for k in line_dedup.fewest(spans)]
         assert {x for i, j in taken for x in range(i, j)} == {x for i, j in spans for x in range(i, j)}
         assert all(x[1] <= y[0] for x, y in zip(taken, taken[2:], strict=False))

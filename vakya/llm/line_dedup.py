@@ -1,11 +1,12 @@
 """Removing passages of several lines that repeat across the corpus.
 
 Lines are hashed, and a rolling hash over neighbouring line hashes chooses where chunks end, so the same passage falls
-into the same chunks wherever it stands in a document. A long line (a paragraph) always is a chunk. Besides, from each
-line on and up to each line, the fewest lines that exceed 50 words are a chunk too (a window): every repeated run of
-whole lines of more than 50 words is a union of windows that repeat, so it goes as a whole wherever boundaries fall. Of
-the chunks that occur earlier too, the fewest that cover a document's repeated lines are fetched and compared byte by
-byte with the first one (by document id, then place); those that are equal to it are removed.
+into the same chunks wherever it stands in a document. As a passage of three lines need not hold a whole chunk, chunks
+also overlap: from each line on and up to each line, the fewest lines that are three of some words, or that exceed 50
+words, are a chunk too (a window). Every repeated run of at least three lines, or of more than 50 words, is a union of
+windows that repeat, so it goes as a whole wherever boundaries fall. Of the chunks that occur earlier too, the fewest
+that cover a document's repeated lines are fetched and compared byte by byte with the first one (by document id, then
+place); those that are equal to it are removed.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ class Chunking:
     long_line: int = 40
     #: Chunks of several lines, and of one line, are compared from so many words on.
     least_words: int = 8
-    least_words_alone: int = 15
-    #: A repeated run of lines with more words than this goes as a whole.
+    least_words_alone: int = 40
+    #: A repeated run of so many lines with the least words, or of any lines with more words than this, goes as a whole.
+    window_lines: int = 3
     passage_words: int = 50
 
 
@@ -76,24 +78,30 @@ def chunk_spans(lines: list[bytes], rule: Chunking) -> list[tuple[int, int, int]
 
 
 def window_spans(lines: list[bytes], rule: Chunking) -> set[tuple[int, int]]:
-    """(first line, number of lines) of the fewest lines that exceed ``passage_words`` from each line on, and up to each line.
+    """(first line, number of lines) of the fewest lines that make a window from each line on, and up to each line.
 
-    Of a longer run, those from its lines on cover all up to the end of the last that fits, and the one up to its end
-    the rest. Lines without words neither start nor end a window.
+    A window has at least ``window_lines`` lines and ``least_words`` words, or more than ``passage_words`` words. Of a
+    longer run, those from its lines on cover all up to the end of the last that fits, and the one up to its end the
+    rest. Lines without words neither start nor end a window, and don't count.
     """
     words = [(i, n) for i, n in enumerate(len(x.split()) for x in lines) if n]
     sums = [0, *accumulate(n for _, n in words)]
+
+    def enough(a: int, b: int) -> bool:
+        total = sums[b] - sums[a]
+        return total > rule.passage_words or (b - a >= rule.window_lines and total >= rule.least_words)
+
     found, start, stop = set(), 0, 0
     for k in range(len(words)):
-        while stop < len(words) and sums[stop] - sums[k] <= rule.passage_words:
+        while stop < len(words) and not enough(k, stop):
             stop += 1
-        if sums[stop] - sums[k] <= rule.passage_words:
+        if not enough(k, stop):
             break
         found.add((words[k][0], words[stop - 1][0] + 1 - words[k][0]))
     for k in range(1, len(sums)):
-        while sums[k] - sums[start + 1] > rule.passage_words:
+        while enough(start + 1, k):
             start += 1
-        if sums[k] - sums[start] > rule.passage_words:
+        if enough(start, k):
             found.add((words[start][0], words[k - 1][0] + 1 - words[start][0]))
     return found
 
@@ -205,7 +213,8 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
 
     The first occurrence of a chunk stays. With ``report``, returns (id, n_lines, n_removed_lines, text) instead. A
     null text stays null and counts no lines; a text whose lines all repeat becomes empty; repeated rows of one id are
-    cut alike; an empty table gives an empty result.
+    one document and are cut alike; ids are whole numbers; rows without an id are neither cut nor compared; an empty
+    table gives an empty result.
     """
     gone = repeated_chunks(docs, rule, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("line", "n_lines")).alias("spans"))
     mark, spans = "__removed_doc", "__removed_spans"
