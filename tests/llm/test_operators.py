@@ -277,6 +277,18 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), labels.limit(0)).collect() == []
 
 
+def test_url_tree_of_all_levels(spark):
+    """Branches that differ below equal ones are told apart at any depth and width, and long paths keep their tails."""
+    rows = [(i, f"x://h.example.com/a/b/{'bad' if i % 2 else 'good'}/word{chr(97 + i % 26)}{chr(97 + i // 26)}/") for i in range(200)]
+    rows += [(500, "x://h.example.com/a/b/bad/other"), (501, "x://h.example.com/a/b/good/other"), (502, "x://h.example.com"), (503, "x://h.example.com/" + "p/" * 30)]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, i % 2) for i in range(120)], "page_id long, bad int")
+    by = {r.page_id: (r.verdict, r.template) for r in url_filter.filter_urls(pages, labels).collect()}
+    for i in range(200):
+        kind = "bad" if i % 2 else "good"
+        assert by[i][0] == ("block" if i % 2 else "allow") and by[i][1].endswith(f"/{kind}/*")
+    assert by[500][0] == "block" and by[501][0] == "allow" and by[502] == ("allow", "h.example.com") and by[503][0] == "allow"
+
+
 def test_line_dedup(docs, none, spark):
     passage = "\n".join(prose(50 + i, 20) for i in range(30))
     rows = [(1, passage), (2, "own line\n" + passage + "\nlast"), (3, None), (4, ""), (5, passage), (5, passage)]

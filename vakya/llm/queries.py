@@ -83,8 +83,24 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+def level_sql(k: int) -> str:
+    """DuckDB SQL for level k of the template tree (the tables have fewer than four levels)."""
+    return f"""
+children{k} AS (SELECT template, segs[{k}] AS seg, sum(n)::BIGINT AS child_n, sum(b)::BIGINT AS child_b FROM nodes{k - 1} WHERE len(segs) >= {k} GROUP BY template, segs[{k}]),
+parents{k} AS (SELECT template, sum(child_n)::DOUBLE AS all_n, sum(child_b)::DOUBLE AS all_b FROM children{k} GROUP BY template),
+named{k} AS (
+  SELECT c.template, seg, c.template || '/' ||
+         CASE WHEN child_n < 5 OR child_n = all_n OR (child_b::DOUBLE * all_n - child_n::DOUBLE * all_b) * (child_b::DOUBLE * all_n - child_n::DOUBLE * all_b) * all_n
+                   <= 3.84::DOUBLE * child_n::DOUBLE * (all_n - child_n::DOUBLE) * all_b * (all_n - all_b) THEN '*' ELSE seg END AS longer
+  FROM children{k} c JOIN parents{k} p ON c.template = p.template),
+nodes{k} AS (
+  SELECT host, segs, n, b, template FROM nodes{k - 1} WHERE len(segs) < {k}
+  UNION ALL
+  SELECT host, segs, n, b, longer AS template FROM nodes{k - 1} x JOIN named{k} y ON x.template = y.template AND x.segs[{k}] = y.seg WHERE len(segs) >= {k}),"""
+
+
 ORACLE_SQL: dict[str, str] = {
-    "op9_url_filters": r"""
+    "op9_url_filters": rf"""
 WITH parts AS (
   SELECT page_id, url,
          translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -92,8 +108,7 @@ WITH parts AS (
   FROM pages),
 ruled AS (
   SELECT page_id, host, path,
-         regexp_replace(regexp_extract(path, '^/*([^/]*)', 1), '[0-9]+', '#', 'g') AS seg1,
-         regexp_replace(regexp_extract(path, '^/*[^/]*/*([\s\S]*)', 1), '[0-9]+', '#', 'g') AS seg2,
+         list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> '') AS segs,
          CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
               WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
               WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
@@ -101,30 +116,19 @@ ruled AS (
   FROM parts),
 marked AS (
   SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
-  FROM (SELECT page_id, TRY_CAST(regexp_extract(url, '://[^/?#]*[^?#]*?([0-9]{1,18})[^0-9?#]*(?:[?#]|$)', 1) AS BIGINT) AS doc_id FROM pages)
+  FROM (SELECT page_id, TRY_CAST(regexp_extract(url, '://[^/?#]*[^?#]*?([0-9]{{1,18}})[^0-9?#]*(?:[?#]|$)', 1) AS BIGINT) AS doc_id FROM pages)
   JOIN labels USING (doc_id) GROUP BY page_id),
-seen AS (SELECT DISTINCT page_id, host, seg1, seg2 FROM ruled),
-leaves AS (SELECT host, seg1, seg2, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM seen LEFT JOIN marked USING (page_id) GROUP BY host, seg1, seg2),
-up AS (SELECT host, seg1, sum(n) AS up_n, sum(b) AS up_b, count(*) AS children FROM leaves GROUP BY host, seg1),
-top AS (SELECT host, sum(up_n) AS host_n, sum(up_b) AS host_b, count(*) AS branches FROM up GROUP BY host),
-low AS (
-  SELECT host, seg1, seg2, n, b,
-         CASE WHEN children > 24 OR (b::DOUBLE * up_n::DOUBLE - n::DOUBLE * up_b::DOUBLE) * (b::DOUBLE * up_n::DOUBLE - n::DOUBLE * up_b::DOUBLE) <= 3.84::DOUBLE * n::DOUBLE * up_b::DOUBLE * (up_n::DOUBLE - up_b::DOUBLE) THEN '*' ELSE seg2 END AS t2
-  FROM leaves JOIN up USING (host, seg1)),
-mid AS (
-  SELECT host, seg1,
-         CASE WHEN branches > 24 OR (up_b::DOUBLE * host_n::DOUBLE - up_n::DOUBLE * host_b::DOUBLE) * (up_b::DOUBLE * host_n::DOUBLE - up_n::DOUBLE * host_b::DOUBLE) <= 3.84::DOUBLE * up_n::DOUBLE * host_b::DOUBLE * (host_n::DOUBLE - host_b::DOUBLE) THEN '*' ELSE seg1 END AS t1
-  FROM up JOIN top USING (host)),
-named AS (SELECT host, seg1, seg2, t1, t2, n, b FROM low JOIN mid USING (host, seg1)),
-total AS (SELECT sum(b)::DOUBLE / greatest(sum(n), 1)::DOUBLE AS prior FROM leaves),
-pure AS (SELECT host, t1, t2, sum(n)::BIGINT AS n_labelled, sum(b)::BIGINT AS n_bad FROM named GROUP BY host, t1, t2),
-tree AS (
-  SELECT host, seg1, seg2, host || '/' || t1 || '/' || t2 AS template, n_labelled, n_bad,
-         (n_bad::DOUBLE + (SELECT prior FROM total) * 8.0::DOUBLE) / (n_labelled::DOUBLE + 8.0::DOUBLE) >= 0.5::DOUBLE AS rejected
-  FROM named JOIN pure USING (host, t1, t2))
-SELECT page_id, host, path, rule,
+seen AS (SELECT DISTINCT page_id, host, segs FROM ruled),
+nodes0 AS (SELECT host, segs, host AS template, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM seen LEFT JOIN marked USING (page_id) GROUP BY host, segs),
+{"".join(level_sql(k) for k in (1, 2, 3))}
+total AS (SELECT sum(b)::DOUBLE / greatest(sum(n), 1)::DOUBLE AS prior FROM nodes0),
+judged AS (
+  SELECT template, sum(n)::BIGINT AS n_labelled, sum(b)::BIGINT AS n_bad,
+         sum(b) > 0 AND (sum(b)::DOUBLE + (SELECT prior FROM total) * 8.0::DOUBLE) / (sum(n)::DOUBLE + 8.0::DOUBLE) >= 1.5::DOUBLE * (SELECT prior FROM total) AS rejected
+  FROM nodes3 GROUP BY template)
+SELECT page_id, r.host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN rejected THEN 'block' ELSE 'allow' END AS verdict,
-       template, n_labelled, n_bad
-FROM ruled LEFT JOIN tree USING (host, seg1, seg2)
+       t.template, n_labelled, n_bad
+FROM ruled r LEFT JOIN nodes3 t ON r.host = t.host AND r.segs = t.segs LEFT JOIN judged j ON t.template = j.template
 """,
 }

@@ -1,9 +1,10 @@
 """URL filters by a path-template tree, with DataFrame functions only.
 
-Each host has a tree of path segments. Variable segments become wildcards, first by their form (digits) and then by
-how many different ones a branch point has. Sibling branches whose labelled shares of bad pages do not differ
-significantly from those of all siblings are merged into one branch. A template is rejected if its smoothed labelled
-purity is low. Listed rules come first.
+Each host has a tree of path segments, built level by level from the host down. Variable segments become wildcards: runs
+of digits by their form, and the segments of a branch point whose labelled shares of bad pages don't differ significantly
+from those of its other branches, or which have too few labels to tell; these are merged into one branch, and so are
+the trees below them. A template is rejected if its smoothed labelled share of bad pages is well above that of all pages.
+Listed rules come first.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, broadcast_if_small, written
+
+#: Rows up to which the tree is broadcast; beyond, Spark shuffles.
+BROADCAST_ROWS = 400_000
 
 # Fixed values: (action, host, path) of the listed rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -23,14 +27,16 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 class TreeLimits:
     """Parameters of the tree; none of them leaves out rows."""
 
-    #: A branch point with more different segments than this becomes a wildcard.
-    most_children: int = 24
-    #: Squared normal deviate: siblings that differ less are merged.
+    #: Segments of a path that are levels of the tree; what is below is one last segment.
+    levels: int = 8
+    #: Squared normal deviate: branches that differ less from their siblings are merged.
     similar: float = 3.84
+    #: Branches with fewer labelled pages are merged.
+    least_labels: int = 5
     #: Weight of the global share of bad pages in the smoothed share.
     prior_weight: float = 8.0
-    #: A template is rejected from this smoothed share of bad pages on.
-    reject_from: float = 0.5
+    #: A template is rejected from this multiple of the global share of bad pages on.
+    reject_from: float = 1.5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -50,61 +56,53 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, action
 
 
-def segment_columns(path: Column) -> tuple[Column, Column]:
-    """The first path segment and the shape of the rest, with digits generalised."""
-    first = F.regexp_replace(F.regexp_extract(path, "^/*([^/]*)", 1), "[0-9]+", "#")
-    rest = F.regexp_replace(F.regexp_extract(path, r"^/*[^/]*/*([\s\S]*)", 1), "[0-9]+", "#")
-    return first, rest
+def segments(path: Column, levels: int) -> Column:
+    """The segments of a path that aren't empty, with runs of digits as ``#``; what is below ``levels`` is one segment."""
+    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != "")
+    return F.when(F.size(parts) <= levels, parts).otherwise(F.concat(F.slice(parts, 1, levels - 1), F.array(F.array_join(F.slice(parts, levels, F.size(parts)), "/"))))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limits: TreeLimits = TreeLimits()) -> DataFrame:
     """One row for each row of ``pages(page_id, url)``: host, path, rule, verdict and the template that decided.
 
     ``labels(page_id, bad)`` marks some pages as bad (1) or not (0); several labels of one page count as one, bad if
-    any is. Pages whose template has no label get the global share alone, so they are allowed unless that is high.
-    A null URL has an empty host and path; repeated rows each get a row; an empty table gives an empty result.
+    any is. Pages whose template has no label get the global share alone, so they are allowed.
+    A null URL has an empty host and path; repeated rows each get a row, and count once in the tree; an empty table
+    gives an empty result.
     """
     host, path = url_parts(F.col("__url"))
     base = pages.select(F.col("page_id"), F.col("url").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
-    first, rest = segment_columns(F.col("path"))
-    base = base.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), first.alias("seg1"), rest.alias("seg2"))
+    base = base.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"), segments(F.col("path"), limits.levels).alias("segs"))
     marked = labels.where("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
-    seen = base.select("page_id", "host", "seg1", "seg2").distinct().join(marked, "page_id", "left")
-    leaves = seen.groupBy("host", "seg1", "seg2").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    tree = template_tree(written(leaves), limits)
-    on = ["host", "seg1", "seg2"]
+    seen = base.select("page_id", "host", "segs").distinct().join(marked, "page_id", "left")
+    leaves = seen.groupBy("host", "segs").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    tree = written(template_tree(written(leaves), limits))
     verdict = F.coalesce(F.col("action"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return base.join(tree, on, "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "n_labelled", "n_bad")
+    return base.join(broadcast_if_small(tree, BROADCAST_ROWS), ["host", "segs"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "n_labelled", "n_bad")
 
 
 def template_tree(leaves: DataFrame, limits: TreeLimits) -> DataFrame:
-    """For each leaf (host, seg1, seg2) with n labelled pages, b of them bad: its template and whether that is rejected."""
-    total = leaves.agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-    # Level 2: the children of (host, seg1); a branch point with many children is one wildcard.
-    up = leaves.groupBy("host", "seg1").agg(F.sum("n").alias("up_n"), F.sum("b").alias("up_b"), F.count(F.lit(1)).alias("children"))
-    like = _similar("n", "b", "up_n", "up_b", limits)
-    low = leaves.join(up, ["host", "seg1"]).withColumn("t2", F.when((F.col("children") > limits.most_children) | like, F.lit("*")).otherwise(F.col("seg2")))
-    # Level 1: the children of the host.
-    top = up.groupBy("host").agg(F.sum("up_n").alias("host_n"), F.sum("up_b").alias("host_b"), F.count(F.lit(1)).alias("branches"))
-    like = _similar("up_n", "up_b", "host_n", "host_b", limits)
-    mid = (
-        up.join(top, "host")
-        .withColumn("t1", F.when((F.col("branches") > limits.most_children) | like, F.lit("*")).otherwise(F.col("seg1")))
-        .select("host", "seg1", "t1")
-    )
-    named = low.join(mid, ["host", "seg1"]).select("host", "seg1", "seg2", "t1", "t2", "n", "b")
-    pure = named.groupBy("host", "t1", "t2").agg(F.sum("n").alias("n_labelled"), F.sum("b").alias("n_bad"))
-    prior = total.select((F.col("all_b").cast("double") / F.greatest(F.col("all_n"), F.lit(1)).cast("double")).alias("prior")).scalar()
-    share = (F.col("n_bad").cast("double") + F.coalesce(prior, F.lit(0.0)) * F.lit(limits.prior_weight)) / (F.col("n_labelled").cast("double") + F.lit(limits.prior_weight))
-    judged = pure.withColumn("rejected", share >= F.lit(limits.reject_from))
-    return named.join(judged, ["host", "t1", "t2"]).select(
-        "host", "seg1", "seg2", F.concat(F.col("host"), F.lit("/"), F.col("t1"), F.lit("/"), F.col("t2")).alias("template"), "n_labelled", "n_bad", "rejected"
-    )
-
-
-def _similar(n: str, b: str, all_n: str, all_b: str, limits: TreeLimits) -> Column:
-    """Whether b of n differs from all_b of all_n by less than the deviate allows (products only, so exact in any engine)."""
-    n, b, all_n, all_b = (F.col(x).cast("double") for x in (n, b, all_n, all_b))
+    """For each leaf (host, segs) with n labelled pages, b of them bad: its template and whether that is rejected."""
+    depth, all_n, all_b = leaves.agg(F.max(F.size("segs")), F.sum("n"), F.sum("b")).first()
+    nodes = leaves.withColumn("template", F.col("host"))
+    for k in range(1, (depth or 0) + 1):
+        here = nodes.where(F.size("segs") >= k).withColumn("seg", F.element_at("segs", k))
+        children = here.groupBy("template", "seg").agg(F.sum("n").alias("child_n"), F.sum("b").alias("child_b"))
+        parents = children.groupBy("template").agg(F.sum("child_n").alias("all_n"), F.sum("child_b").alias("all_b"))
+        name = F.when(_similar(limits), F.lit("*")).otherwise(F.col("seg"))
+        named = children.join(parents, "template").select("template", "seg", F.concat("template", F.lit("/"), name).alias("longer"))
+        taken = here.join(broadcast_if_small(written(named), BROADCAST_ROWS), ["template", "seg"]).select("host", "segs", "n", "b", F.col("longer").alias("template"))
+        nodes = written(nodes.where(F.size("segs") < k).unionByName(taken))
+    prior = (all_b or 0) / max(all_n or 0, 1)
+    share = (F.col("n_bad").cast("double") + F.lit(prior) * F.lit(limits.prior_weight)) / (F.col("n_labelled").cast("double") + F.lit(limits.prior_weight))
+    judged = nodes.groupBy("template").agg(F.sum("n").alias("n_labelled"), F.sum("b").alias("n_bad"))
+    judged = judged.withColumn("rejected", (F.col("n_bad") > 0) & (share >= F.lit(limits.reject_from) * F.lit(prior)))
+    return nodes.join(broadcast_if_small(written(judged), BROADCAST_ROWS), "template").select("host", "segs", "template", "n_labelled", "n_bad", "rejected")
+
+
+def _similar(limits: TreeLimits) -> Column:
+    """Whether child_b of child_n differs from what its siblings have by less than the deviate allows, or has too few labels (products only, so exact in any engine)."""
+    n, b, all_n, all_b = (F.col(x).cast("double") for x in ("child_n", "child_b", "all_n", "all_b"))
     gap = b * all_n - n * all_b
-    return gap * gap <= F.lit(limits.similar) * n * all_b * (all_n - all_b)
+    return (n < F.lit(float(limits.least_labels))) | (n == all_n) | (gap * gap * all_n <= F.lit(limits.similar) * n * (all_n - n) * all_b * (all_n - all_b))
