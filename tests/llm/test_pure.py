@@ -192,6 +192,45 @@ def test_license_scores():
     assert license_scan.scan("", m, limits) == (None, None, None, 0.0)
 
 
+def test_licenses_against_brute_force():
+    """All lines and all windows of a template's length, compared with all templates."""
+    rng, limits = random.Random(12), license_scan.ScanLimits()
+    m = license_scan.Matcher(5000, {"the": 4000, "of": 3500, "license": 40, "under": 500, "to": 3900})
+    known = sorted(license_scan.VOCABULARY)
+    for k in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            part = license_scan.terms(rng.choice(license_scan.TEMPLATES)[1])
+            if rng.random() < 0.7:
+                part = [rng.choice(known) if rng.random() < 0.12 else w for w in part if rng.random() < 0.95]
+            words += [f"w{rng.randrange(99)}" for _ in range(rng.randrange(6))] + part
+        text = "".join(w + ("\n" if rng.random() < 0.1 else " ") for w in words).strip()
+        best = []
+        for line in text.split("\n"):
+            if license_scan.terms(line):
+                best += [(name == "proprietary", -round(sum(x * m.vector(line).get(t, 0) for t, x in v.items()), 12), name) for name, v in m.templates]
+        flat = license_scan.terms(text)
+        for (name, v), size in zip(m.templates, m.lengths, strict=True):
+            for i in range(max(1, len(flat) - size + 1)):
+                found = m.weights(flat[i : i + size])
+                best.append((name == "proprietary", -round(sum(x * found.get(t, 0) for t, x in v.items()), 12), name))
+        best = [x for x in best if -x[1] >= limits.least_score]
+        got = license_scan.scan(text, m, limits)
+        top = {x[2] for x in best if x[:2] == min(best)[:2]}  # of those that tie, the first line's is taken
+        assert (got[0] in top and got[1] == -min(best)[1]) if best else got[:2] == (None, None), k
+
+
+def test_more_licenses():
+    m, limits = license_scan.Matcher(1000, {"the": 900, "under": 500, "of": 800, "to": 900}), license_scan.ScanLimits()
+    notice = "# This %s is free software%s you can redistribute it and/or modify\n# it under the terms of the GNU %s General Public License as published by\n# the Free Software Foundation%s either version %s of the License, or\n# (at your option) any later version."
+    found = lambda x: license_scan.scan(x, m, limits)[0]
+    assert found(notice % ("program", ":", "Affero", ",", "3")) == "AGPL-3.0"
+    assert found(notice % ("library", ";", "Lesser", ";", "2.1")) == "LGPL-2.1"
+    assert found(notice % ("library", ":", "Lesser", ",", "3")) == "LGPL-3.0"
+    assert found("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.") == "ISC"
+    assert found("SPDX-License-Identifier: EPL-2.0") == "EPL-2.0" and found("// SPDX-License-Identifier: AGPL-3.0-only") == "AGPL-3.0"
+
+
 def test_wrapped_licenses():
     m, limits = license_scan.Matcher(1000, {"the": 900, "under": 500, "to": 900, "and": 900, "of": 900, "in": 900}), license_scan.ScanLimits()
     found = lambda x: license_scan.scan(x, m, limits)[0]

@@ -21,6 +21,7 @@ that some mass is always left. The history of the first token is the start of a
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -41,6 +42,10 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 BLOCK_TOKENS = 1_500_000
 WORDS_REMEMBERED = 400_000
 FOLDS, HELD_OUT = 7, 2
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 16 << 20
+#: Histories of this share of the tokens, and the start, have their requests dealt out in so many parts.
+HOT_HISTORY, SALTS = 1 / 64, 16
 #: Stands for a null id in packed arrays.
 NO_ID = -(1 << 63)
 
@@ -78,7 +83,7 @@ def frequent(docs: DataFrame, share: float) -> tuple[dict[int, int], int, int]:
                 n += len(words) + 1
                 found.update(words)
             found[b"\n"] += batch.num_rows
-            if len(found) > 4 * WORDS_REMEMBERED:  # what is rare so far is given out and forgotten
+            if len(found) > 4 * WORDS_REMEMBERED:  # what is rare so far is forgotten: the limit is half of what is asked for
                 rare = [w for w, c in found.items() if c < share * n / 4]
                 for w in rare:
                     del found[w]
@@ -123,8 +128,18 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def block_rows(block: int, ids: list, texts: list[np.ndarray], hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+def balanced_keys(spark: SparkSession, n: int) -> list[int]:
+    """n keys of which Spark's hash partitioning deals one to each of n partitions."""
+    tries = int(n * (math.log(n + 1) + 16))
+    place = F.pmod(F.hash("key"), F.lit(n))
+    found = spark.range(tries).select(F.col("id").cast("int").alias("key")).groupBy(place.alias("place")).agg(F.min("key").alias("key")).orderBy("place").collect()  # n rows
+    keys = [r.key for r in found]
+    return keys if len(keys) == n else [*keys, *range(tries, tries + n - len(keys))]
+
+
+def block_rows(block: int, ids: list, texts: list[np.ndarray], hot: np.ndarray, keys: list[int]) -> pa.RecordBatch:
     """One row for each bucket: the pairs of a block of documents, sorted by word, history and document."""
+    buckets = len(keys)
     lengths = np.array([len(x) + 1 for x in texts], np.int64)
     w = np.concatenate([y for x in texts for y in (x, [END])]).astype(np.uint64)
     h = np.concatenate([y for x in texts for y in ([START], x)]).astype(np.uint64)
@@ -147,14 +162,14 @@ def block_rows(block: int, ids: list, texts: list[np.ndarray], hot: np.ndarray,
         ww, hh = w[lo:hi], h[lo:hi]
         pair, word = starts_of(ww, hh), starts_of(ww)
         rows.append((
-            b, block, ww[word].tobytes(), pack(np.diff(np.r_[np.searchsorted(pair, word), len(pair)]).astype("<u4")), hh[pair].tobytes(), pack(np.diff(np.r_[pair, hi - lo]).astype("<u4")),
+            keys[b], block, ww[word].tobytes(), pack(np.diff(np.r_[np.searchsorted(pair, word), len(pair)]).astype("<u4")), hh[pair].tobytes(), pack(np.diff(np.r_[pair, hi - lo]).astype("<u4")),
             d[lo:hi].tobytes(), pack(count[lo:hi].astype("<u4")), train, np.array([NO_ID if x is None else x for x in ids], "<i8").tobytes() if home else None, lengths.astype("<i8").tobytes() if home else None,
         ))
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], BLOCK_NAMES)
 
 
-def blocks(docs: DataFrame, hot: dict[int, int], buckets: int) -> DataFrame:
+def blocks(docs: DataFrame, hot: dict[int, int], keys: list[int]) -> DataFrame:
     hot_words = np.array(sorted(hot), np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +186,10 @@ def blocks(docs: DataFrame, hot: dict[int, int], buckets: int) -> DataFrame:
                 texts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
                 size += len(words)
                 if size >= BLOCK_TOKENS or len(ids) == 60_000:
-                    yield block_rows(number, ids, texts, hot_words, buckets)
+                    yield block_rows(number, ids, texts, hot_words, keys)
                     ids, texts, size, number = [], [], 0, number + 1
         if ids:
-            yield block_rows(number, ids, texts, hot_words, buckets)
+            yield block_rows(number, ids, texts, hot_words, keys)
 
     return docs.mapInArrow(run, BLOCK_FIELDS)
 
@@ -242,9 +257,16 @@ def part_table(rows: list[dict]) -> pa.Table:
     return pa.table([pa.array([r.get(n) for r in rows], k) for n, k in zip(PART_NAMES, kinds, strict=True)], PART_NAMES)
 
 
-def scored_parts(bucket: Bucket, d: np.ndarray, n_train: int, size: int, n_docs: int, buckets: int) -> pa.Table:
+def salted(h: np.ndarray, salt: np.ndarray | int, widely_used: np.ndarray) -> np.ndarray:
+    """What deals out requests by history: those for widely used histories in parts."""
+    salt = np.asarray(salt, np.uint64)
+    return np.where(np.isin(h, widely_used), mixed(h + (salt + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), mixed(h))
+
+
+def scored_parts(bucket: Bucket, d: np.ndarray, n_train: int, size: int, n_docs: int, keys: list[int], widely_used: np.ndarray) -> pa.Table:
     """For each block the parts of its documents' scores (kind 0); sums by history (1); requests for back-off weights (2)."""
     rows: list[dict] = []
+    buckets = len(keys)
     low = np.log10((bucket.word_count + 1) / size)
     seen = bucket.count > 0
     high = np.where(seen, np.log10(kept_counts(np.maximum(bucket.count, 1), d)), low)
@@ -260,7 +282,7 @@ def scored_parts(bucket: Bucket, d: np.ndarray, n_train: int, size: int, n_docs:
         entry = np.repeat(of, nd)
         n = len(r["train"]) * 8
         sums = [np.bincount(doc, weights=x[entry] * c, minlength=n)[:n] if len(doc) else np.zeros(n) for x in (low, value, known)]
-        rows.append({"key": int(mixed(np.array([r["block"]], np.uint64))[0] % np.uint64(buckets)), "kind": 0, "block": r["block"], "a": sums[0].tobytes(), "b": sums[1].tobytes(), "c": pack(sums[2].astype("<u4")), "train": r["train"] if r["ids"] is not None else None, "ids": r["ids"], "lengths": r["lengths"]})
+        rows.append({"key": keys[int(mixed(np.array([r["block"]], np.uint64))[0] % np.uint64(buckets))], "kind": 0, "block": r["block"], "a": sums[0].tobytes(), "b": sums[1].tobytes(), "c": pack(sums[2].astype("<u4")), "train": r["train"] if r["ids"] is not None else None, "ids": r["ids"], "lengths": r["lengths"]})
         new = ~seen[entry]
         if new.any():
             asked.append((bucket.h[entry[new]], np.full(new.sum(), i, "<u4"), doc[new], c[new].astype("<u4")))
@@ -271,22 +293,29 @@ def scored_parts(bucket: Bucket, d: np.ndarray, n_train: int, size: int, n_docs:
         mass = np.add.reduceat(bucket.word_count[seen][order] + 1, first)
         gone = np.add.reduceat(count - kept_counts(count, d), first)
         h = h[first]
-        to = mixed(h) % np.uint64(buckets)
+        wide = np.repeat(np.flatnonzero(np.isin(h, widely_used)), SALTS)  # one for each part of their requests
+        at = np.r_[np.flatnonzero(~np.isin(h, widely_used)), wide]
+        salt = np.r_[np.zeros(len(at) - len(wide), np.int64), np.tile(np.arange(SALTS), len(wide) // SALTS)]
+        to = salted(h[at], salt, widely_used) % np.uint64(buckets)
+        _, once = np.unique(np.stack([at.astype(np.uint64), to]), axis=1, return_index=True)  # parts can meet in one key
+        at, to = at[once], to[once]
+        h, mass, gone = h[at], mass[at], gone[at]
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(cuts)):
             part = order[cuts[k] : cuts[k + 1]]
-            rows.append({"key": int(k), "kind": 1, "a": h[part].tobytes(), "b": pack(mass[part].astype("<i8")), "c": pack(gone[part])})
+            rows.append({"key": keys[k], "kind": 1, "a": h[part].tobytes(), "b": pack(mass[part].astype("<i8")), "c": pack(gone[part])})
     if asked:
         h, i, doc, c = (np.concatenate(x) for x in zip(*asked, strict=True))
-        to = mixed(h) % np.uint64(buckets)
+        blocks_of = np.array([r["block"] for r in bucket.rows], np.int64)[i]
+        to = salted(h, mixed(blocks_of.astype(np.uint64)) % np.uint64(SALTS), widely_used) % np.uint64(buckets)
         order = np.lexsort((h, to))
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
         names = np.array([r["block"] for r in bucket.rows], "<i8").tobytes()
         for k in np.flatnonzero(np.diff(cuts)):
             part = order[cuts[k] : cuts[k + 1]]
             first = starts_of(h[part])
-            rows.append({"key": int(k), "kind": 2, "a": h[part][first].tobytes(), "b": pack(np.diff(np.r_[first, len(part)]).astype("<u4")), "c": pack(i[part]), "d": pack(doc[part]), "e": pack(c[part]), "ids": names})
+            rows.append({"key": keys[k], "kind": 2, "a": h[part][first].tobytes(), "b": pack(np.diff(np.r_[first, len(part)]).astype("<u4")), "c": pack(i[part]), "d": pack(doc[part]), "e": pack(c[part]), "ids": names})
     return part_table(rows)
 
 
@@ -342,10 +371,13 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size_of = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_of // BUCKET_BYTES))
+    keys = balanced_keys(spark, buckets)
     hot, n_train, n_docs = frequent(rows, 1 / (4 * buckets))
-    dealt = blocks(rows, hot, buckets).repartition(buckets, "bucket")
+    widely_used = np.array([int(START), *(w for w, c in hot.items() if c >= HOT_HISTORY * n_train and w != int(END))], np.uint64)
+    dealt = blocks(rows, hot, keys).repartition(buckets, "bucket")
     v_hot = sum(c > 0 for c in hot.values())
     numbers = ", ".join(f"n{i} long" for i in range(1, MOST + 2))
 
@@ -361,7 +393,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def score(table: pa.Table) -> pa.Table:
         v, *n = table.column("totals")[0].as_py()
         size = n_train + v + v_hot + 1
-        parts = scored_parts(Bucket(table.drop_columns(["totals"]), hot), discounts(n), n_train, size, n_docs, buckets)
+        parts = scored_parts(Bucket(table.drop_columns(["totals"]), hot), discounts(n), n_train, size, n_docs, keys, widely_used)
         return parts.append_column("size", pa.array([size] * len(parts), pa.int64()))
 
     parts = dealt.withColumn("totals", totals.scalar()).groupBy("bucket").applyInArrow(score, f"{PART_FIELDS}, size long")
@@ -369,7 +401,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def back_off(table: pa.Table) -> pa.Table:
         return backed_off(table.drop_columns(["size"]), table.column("size")[0].as_py())
 
-    answers = parts.groupBy("key").applyInArrow(back_off, PART_FIELDS)
+    answers = parts.repartition(buckets, "key").groupBy("key").applyInArrow(back_off, PART_FIELDS)
 
     def finish(table: pa.Table) -> pa.Table:
         base, total, known, home = 0, 0, 0, None
