@@ -56,19 +56,22 @@ def test_near_duplicates(docs, none):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
     assert near_dup.near_duplicates(none, plan).collect() == []
     kept = near_dup.drop_near_duplicates(docs, plan)
-    assert kept.columns == docs.columns and {6, 7}.isdisjoint(r.doc_id for r in kept.collect())
+    assert kept.columns == docs.columns and ids(kept.collect()) == sorted({*range(len(TEXTS))} - {6, 7})
+    assert near_dup.drop_near_duplicates(none, plan).collect() == []
+    odd = docs.sparkSession.createDataFrame([(None, COPY), (None, prose(77)), (None, prose(77)), (3, COPY), (3, COPY), (None, None), (None, " ")], "doc_id long, text string")
+    assert all(r.kept is not None for r in near_dup.near_duplicates(odd, plan).collect())
+    assert sorted(((r.doc_id, r.text) for r in near_dup.drop_near_duplicates(odd, plan).collect()), key=str) == sorted([(3, COPY), (None, prose(77)), (None, None), (None, " ")], key=str)
 
 
-def test_chain_of_links(spark):
+def test_chain_of_links(spark, monkeypatch):
     """Documents that are linked only through others, in blocks smaller than the group."""
     words = prose(9, 400).split()
     rows = [(i, " ".join(words[6 * i : 6 * i + 200])) for i in range(30)] + [(100 + i, prose(100 + i)) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    block, near_dup.BLOCK = near_dup.BLOCK, 4
-    try:
-        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, near_dup.Plan(3, 85)).collect()}
-    finally:
-        near_dup.BLOCK = block
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "CROWD", 3)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 700)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, near_dup.Plan(3, 85)).collect()}
     sets = {i: {tuple(x.split()[k : k + 3]) for k in range(len(x.split()) - 2)} for i, x in rows}
     root = {i: i for i in sets}
 
@@ -388,8 +391,9 @@ def test_pipeline(spark, tmp_path):
 
     good = [(i, prose(500 + i, 120), "en", "s", 0) for i in range(6)]
     near = [(20, good[0][1].replace("w", "v", 1), "en", "s", 0)]
-    rows = [*good, *near, (30, "spam " * 300, "en", "s", 0), (31, None, "en", "s", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [*good, *near, good[1], good[1], (30, "spam " * 300, "en", "s", 0), (31, None, "en", "s", 0), (32, "", None, None, None), (40, prose(900, 20_000), "en", "s", 0)]
+    rows = [(*r, "x", 5) for r in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, band string, salt int").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     names = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -398,7 +402,11 @@ def test_pipeline(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         names.append({r.doc_id for r in docs.collect()})
-    assert names == [{*range(6), 20}, {*range(6), 20}, set(range(6))]
+    assert names == [{*range(6), 20, 40}, {*range(6), 20, 40}, {*range(6), 40}]
+    assert sorted(r.doc_id for r in docs.collect()) == [*range(6), 40]  # repeated rows of one id are one document
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in packed} == set(range(6))
+    assert {r.doc_id for r in packed} == {*range(6), 40}
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
     assert corpus_pipeline.ORACLE_SQL is None

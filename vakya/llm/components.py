@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,8 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large)
         # In ``large`` each u is greater than its v.
         small = large.join(_least(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct())
-        now = _mark(edges)
+        shorter = written(small.select("e.u", "e.v").where("u <> v").distinct())
+        now = _mark(shorter)
+        forget(large)
+        forget(edges)
+        edges = shorter
         if now == mark:
             break
         mark = now

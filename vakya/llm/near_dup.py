@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ from .components import components
 BROADCAST_ROWS = 400_000
 #: Classes of a bucket that one task compares with one another; larger buckets are compared block by block.
 BLOCK = 1024
+#: Shingles of the sets of a block: what one task holds follows from them, and not from the length of texts.
+BLOCK_SHINGLES = 2_000_000
+#: Classes of a bucket that are joined with its leader in one group; larger buckets are dealt out in several.
+CROWD = 512
 #: Pairs of one leader that meet in one group of the join that confirms them.
 FAN = 256
 WORDS_REMEMBERED = 500_000
@@ -310,17 +315,22 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
 
     A text of fewer words than a shingle is one shingle; a null or empty text, or one of white space, has none and is
     linked with nothing. Rows with one id count as one document: a link of any of them is a link of all of that text's
-    rows. Ties need no rule, as components don't depend on an order. An empty table gives an empty result; other
-    columns are ignored.
+    rows. A row without an id has the component of the documents with its text and isn't kept if there are any; else
+    its component is null and it is kept. Ids are whole numbers. Sets are of 64-bit hashes of shingles, ``n_shingles``
+    counts these. Ties need no rule, as components don't depend on an order. An empty table gives an empty result;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
     sig = written(signatures(docs, plan, id_col, text_col))
-    classes = written(sig.where("n_shingles > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n_docs"), F.first("sig").alias("sig")))
+    classes = written(sig.where("n_shingles > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     sigs = classes.select("node", "sig")
-    members = classes.select("node", "n_docs", F.posexplode(band_keys(plan)).alias("number", "band"))
+    members = classes.select("node", "n_docs", "n_shingles", F.posexplode(band_keys(plan)).alias("number", "band"))
     leaders = members.groupBy("band").agg(F.max(F.struct(F.col("n_docs"), (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = written(members.join(leaders.select("band", (-F.col("top.minus")).alias("leader"), "size"), "band").select("band", "number", "node", "leader", "size"))
+    leaders = written(leaders.select("band", (-F.col("top.minus")).alias("leader"), "size", F.ceil(F.col("size") / CROWD).cast("int").alias("groups")))
+    hot = broadcast_if_small(leaders.where("groups > 1").select("band", "groups"), BROADCAST_ROWS)
+    dealt = members.join(hot, "band", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
+    crowded = written(dealt.join(in_groups(leaders), ["band", "salt"]).select("band", "salt", "groups", "number", "node", "n_shingles", "leader", "size"))
     wanted = crowded.select(F.col("node").alias("doc")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     sets = written(full_sets(texts.join(broadcast_if_small(written(wanted), BROADCAST_ROWS), "doc").where("text is not null").select("doc", "text"), plan).where("octet_length(shingles) > 0"))
@@ -329,11 +339,13 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     first = written(confirmed(written(likely(stars, sigs, plan)), sets, plan))
     comp = components(first)
     named = crowded.where("size > 2").join(comp.select("node", F.col("component").alias("found")), "node", "left").withColumn("comp", F.coalesce("found", "node")).drop("found")
-    main = named.where("node = leader").select("band", F.col("comp").alias("main"))
-    open_ = named.join(main, "band").withColumn("left_over", F.col("comp") != F.col("main"))
-    spread = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if("left_over").alias("n_left")).where("n_left > 0")
-    blocks = spread.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("of_right"), F.ceil(F.col("n_left") / BLOCK).cast("int").alias("of_left"))
-    rows = open_.join(blocks, "band").join(sigs, "node")
+    main = named.where("node = leader").select("band", "groups", F.col("comp").alias("main"))
+    open_ = named.drop("groups").join(in_groups(main), ["band", "salt"]).withColumn("left_over", F.col("comp") != F.col("main"))
+    left_shingles = F.sum(F.when(F.col("left_over"), F.col("n_shingles")))
+    spread = open_.groupBy("band").agg(F.first("groups").alias("groups"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"), F.count_if("left_over").alias("n_left"), left_shingles.alias("s_left")).where("n_left > 0")
+    in_blocks = lambda n, shingles: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+    blocks = spread.select("band", "groups", in_blocks("n", "s").alias("of_right"), in_blocks("n_left", "s_left").alias("of_left"))
+    rows = open_.drop("groups").join(in_groups(blocks), ["band", "salt"]).join(sigs, "node")
     entry = F.struct("node", "comp", "sig").alias("entry")
     place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     all_blocks = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
@@ -346,10 +358,33 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     final = components(links)
     named_class = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found = sig.join(named_class, "digest", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
-    return found.select(F.col("doc").alias(id_col), "n_shingles", "component_id", (F.col("component_id") == F.col("doc")).alias("kept"))
+    return found.select(F.col("doc").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc"), F.col("component_id").isNull()).alias("kept"))
+
+
+def in_groups(df: DataFrame) -> DataFrame:
+    """A row of ``df`` for each of its ``groups``, numbered by ``salt``."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one of the least id."""
-    gone = written(near_duplicates(docs, plan, id_col, text_col).where("not kept").select(id_col).distinct())
-    return docs.join(broadcast_if_small(gone, BROADCAST_ROWS), id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group: the one of the least id.
+
+    Documents without words stay. Of repeated rows of one id one stays, whichever Spark takes. Of rows without an id,
+    those whose text another row has go, but for one where none of these has an id. An empty table gives an empty
+    result; all columns stay.
+    """
+    gone = written(near_duplicates(docs, plan, id_col, text_col).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(id_col).distinct())
+    left = docs.join(broadcast_if_small(gone, BROADCAST_ROWS), id_col, "left_anti").select(*docs.columns)
+    again = written(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col(id_col).isNull() | (F.col("__n") > 1)).select(id_col))
+    if again.limit(1).count() == 0:
+        return left
+    named = again.where(F.col(id_col).isNotNull())
+    once = left.join(broadcast_if_small(named, BROADCAST_ROWS), id_col, "left_anti").where(F.col(id_col).isNotNull())
+    repeated = left.join(broadcast_if_small(named, BROADCAST_ROWS), id_col, "left_semi").dropDuplicates([id_col])
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    nameless = left.where(F.col(id_col).isNull()).withColumn("__digest", digest)
+    with_id = docs.where(F.col(id_col).isNotNull()).select(digest.alias("__digest")).distinct()
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = nameless.where(~wordless).dropDuplicates(["__digest"]).join(with_id, "__digest", "left_anti")
+    kept = [once, repeated, first, nameless.where(wordless)]
+    return reduce(DataFrame.unionByName, [x.select(*docs.columns) for x in kept])
