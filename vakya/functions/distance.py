@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,12 +13,20 @@ from pyspark.sql import types as T
 def edit_counts(hyp: list, ref: list) -> tuple[int, int, int, int]:
     """(distance, substitutions, deletions, insertions) with a back-trace that prefers diagonal, then deletion, then insertion."""
     m, n = len(ref), len(hyp)
-    rows = [list(range(n + 1))]
-    for i in range(1, m + 1):
-        row, above = [i], rows[-1]
-        for j in range(1, n + 1):
-            row.append(min(above[j - 1] + (ref[i - 1] != hyp[j - 1]), above[j] + 1, row[j - 1] + 1))
-        rows.append(row)
+    number: dict = {}
+    b = np.array([number.setdefault(w, len(number)) for w in hyp], np.int32)
+    places = np.arange(n + 1, dtype=np.int32)
+    rows = np.empty((m + 1, n + 1), np.int32)
+    rows[0] = places
+    for i, w in enumerate(ref, 1):
+        above = rows[i - 1]
+        row = rows[i]
+        row[0] = i
+        np.minimum(above[:-1] + (b != number.get(w, -1)), above[1:] + 1, out=row[1:])
+        # Insertions: the least of row[k] + (j - k) over k up to j.
+        np.subtract(row, places, out=row)
+        np.minimum.accumulate(row, out=row)
+        np.add(row, places, out=row)
     i, j, s, d, ins = m, n, 0, 0, 0
     while i or j:
         if i and j and rows[i][j] == rows[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
@@ -27,7 +36,7 @@ def edit_counts(hyp: list, ref: list) -> tuple[int, int, int, int]:
             d, i = d + 1, i - 1
         else:
             ins, j = ins + 1, j - 1
-    return rows[m][n], s, d, ins
+    return int(rows[m][n]), s, d, ins
 
 
 @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in ("distance", "substituted", "deleted", "inserted")]))

@@ -70,15 +70,13 @@ def phone_canonical(x: Column) -> Column:
 def consonant_skeleton(x: Column) -> Column:
     """Lower-case letters without vowels after the first, repeats as one."""
     low = F.regexp_replace(F.lower(x), "[^a-z]", "")
-    return F.regexp_replace(F.concat(F.substring(low, 1, 1), F.regexp_replace(F.substring(low, 2, 10_000), "[aeiouyhw]", "")), "(.)\\1+", "$1")
+    return F.regexp_replace(F.concat(F.substring(low, 1, 1), F.regexp_replace(F.regexp_replace(low, "^.", ""), "[aeiouyhw]", "")), "(.)\\1+", "$1")
 
 
 def sound_fold(x: Column) -> Column:
-    """A phonetic form: digraphs merged, vowels dropped, repeats as one."""
-    low = F.lower(x)
-    for a, b in (("ph", "f"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("sh", "s"), ("ch", "c"), ("w", "v"), ("z", "j"), ("q", "k"), ("x", "ks")):
-        low = F.replace(low, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(low, "[aeiou]", ""), "(.)\\1+", "$1")
+    """A phonetic key of our own: an h after a consonant goes, like sounds share a letter, vowels go, repeats are one."""
+    plain = F.regexp_replace(F.lower(x), "([b-df-hj-np-tv-z])h", "$1")
+    return F.regexp_replace(F.translate(plain, "qzwyaeiou", "kjv"), "(.)\\1+", "$1")
 
 
 def script_share(x: Column, letters: str = "[ऀ-ॿ]", all_letters: str = "[A-Za-zऀ-ॿÀ-ÿ]") -> Column:
@@ -89,14 +87,26 @@ def script_share(x: Column, letters: str = "[ऀ-ॿ]", all_letters: str = "[A-Z
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by spaces."""
-    last = F.size(tokens) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    count = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    found = F.slice(tokens, 1, count)
+    for k in range(2, n + 1):  # array by array, so that the tokens are not made again for each position
+        found = F.zip_with(found, F.slice(tokens, k, count), lambda a, b: F.concat_ws(" ", a, b))
+    return found
 
 
-def spells(tokens: Column, fact: Column, most: int = 12) -> Column:
-    """Whether contiguous whole tokens, at most so many, make up ``fact`` when joined without spaces."""
-    spans = lambda i: F.exists(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(tokens, i, n), "") == fact)
-    return (F.size(tokens) > 0) & F.exists(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), spans)
+def spells(tokens: Column, fact: Column) -> Column:
+    """Whether contiguous whole tokens make up ``fact`` when joined without spaces.
+
+    One pass: the state is the ends in ``fact`` that runs of tokens up to here have reached; -1 says that one is done.
+    """
+    n = F.length(fact)
+    fits = lambda at, t: F.substring(fact, at + 1, F.length(t)) == t
+
+    def step(ends: Column, t: Column) -> Column:
+        longer = F.transform(F.filter(F.concat(ends, F.array(F.lit(0))), lambda e: fits(e, t)), lambda e: e + F.length(t))
+        return F.when(F.array_contains(ends, -1) | F.array_contains(longer, n), F.array(F.lit(-1))).otherwise(F.filter(longer, lambda e: e < n))
+
+    return (n > 0) & F.array_contains(F.aggregate(tokens, F.array().cast("array<int>"), step), -1)
 
 
 def cer(hyp: Column, ref: Column) -> Column:

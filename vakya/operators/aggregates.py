@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bins of values whose ranks are counted apart.
+RANK_BINS = 4096
+
+
 def two_level(df: DataFrame, group: list[str], inner: list[str], value: str) -> DataFrame:
     """Mean and population deviation over the inner groups' means, with the number of inner groups."""
     means = df.groupBy(*group, *inner).agg(F.avg(value).alias("m"))
@@ -18,22 +22,29 @@ def linear(value: str, q: float) -> Column:
     return F.expr(f"percentile({value}, {q}d)")
 
 
-def at_index(value: str, index: Column) -> Column:
-    """The value at an index (from 0) of the ordered values; the groups must be of a bounded size."""
-    return F.element_at(F.array_sort(F.collect_list(value)), (index + 1).cast("int"))
+def at_indexes(df: DataFrame, group: list[str], value: str, indexes: dict[str, Column]) -> DataFrame:
+    """For each group the values at indexes (from 0, of the column ``n``, the number of values) of the ordered values.
 
+    Distinct values are counted first, so no group is held as a whole; a value is taken where the running count passes
+    the index.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__k"))
+    ordered = W.partitionBy(*group)
+    upto = F.sum("__k").over(ordered.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumn("__upto", upto).withColumn("n", F.sum("__k").over(ordered))
+    return ranked.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") > i, F.col(value))).alias(name) for name, i in indexes.items()])
 
-def truncated_rank(value: str, q: float) -> Column:
-    n = F.count(value)
-    return at_index(value, F.least(n - 1, F.floor(n * F.lit(q))))
 
+def truncated_rank(q: float) -> Column:
+    return F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q)))
 
-def half_up_rank(value: str, q: float) -> Column:
-    return at_index(value, F.floor((F.count(value) - 1) * F.lit(q) + 0.5))
 
+def half_up_rank(q: float) -> Column:
+    return F.floor((F.col("n") - 1) * F.lit(q) + 0.5)
 
-def lower_rank(value: str, q: float) -> Column:
-    return at_index(value, F.floor((F.count(value) - 1) * F.lit(q)))
+
+def lower_rank(q: float) -> Column:
+    return F.floor((F.col("n") - 1) * F.lit(q))
 
 
 def share(k: Column, n: Column) -> Column:
@@ -42,9 +53,20 @@ def share(k: Column, n: Column) -> Column:
 
 
 def tie_averaged_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Ranks of values, ties by their mean. Distinct values are counted first, so only they are ordered."""
+    """Ranks of values, ties by their mean.
+
+    Distinct values are counted first. Their running count is taken within bins of equal breadth, and over the bins, so
+    no task orders all values.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    low, high = counts.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    low, breadth = low or 0.0, ((high or 0.0) - (low or 0.0)) / RANK_BINS
+    bin_ = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(breadth or 1.0)), F.lit(RANK_BINS)).cast("int")
+    binned = counts.withColumn("__bin", bin_)
+    bins = binned.groupBy("__bin").agg(F.sum("__n").alias("__in_bin"))  # at most RANK_BINS + 1 rows
+    starts = bins.select("__bin", F.coalesce(F.sum("__in_bin").over(W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    within = F.coalesce(F.sum("__n").over(W.partitionBy("__bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    upto = binned.withColumn("__within", within).join(F.broadcast(starts), "__bin").withColumn("__before", F.col("__start") + F.col("__within"))
     return df.join(upto.select(value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(out)), value)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import aggregates as A
 from .registry import Tables, count_n, query
 
@@ -139,8 +140,9 @@ def failure_groups(t: Tables) -> DataFrame:
     from g join (select user_id, quantile_cont(value, 0.95) as p from events group by 1) q using (user_id)""")
 def percentiles(t: Tables) -> DataFrame:
     """Four definitions of a percentile."""
-    r = lambda c: F.round(c, 6)
-    return t.events.groupBy("user_id").agg(r(A.linear("value", 0.95)).alias("linear"), r(A.truncated_rank("value", 0.95)).alias("truncated"), r(A.half_up_rank("value", 0.95)).alias("half_up"), r(A.lower_rank("value", 0.95)).alias("lower_"))
+    at = A.at_indexes(t.events, ["user_id"], "value", {"truncated": A.truncated_rank(0.95), "half_up": A.half_up_rank(0.95), "lower_": A.lower_rank(0.95)})
+    linear = t.events.groupBy("user_id").agg(A.linear("value", 0.95).alias("linear"))
+    return linear.join(at, "user_id").select("user_id", *[F.round(c, 6).alias(c) for c in ("linear", "truncated", "half_up", "lower_")])
 
 
 @query("ag_recent_stats", """
@@ -218,8 +220,8 @@ def micro_f1(t: Tables) -> DataFrame:
     with w as (select doc_id, list_filter(string_split_regex(trim(text), '[ \\t\\n\\r]+'), lambda x: x <> '') as w from documents), g as (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as gram from w where len(w) >= 3),
     c as (select doc_id, gram, count(*) as n from g group by 1, 2) select doc_id, max(n) as most, count(*) as different from c group by 1""")
 def trigram_repeats(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.filter(F.split(F.trim("text"), "[ \\t\\n\\r]+"), lambda x: x != "").alias("w")).where(F.size("w") >= 3)
-    grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("gram"))
+    words = t.documents.select("doc_id", F.filter(F.split(F.trim("text"), "[ \\t\\n\\r]+"), lambda x: x != "").alias("w"))
+    grams = words.select("doc_id", F.explode(X.ngrams(F.col("w"), 3)).alias("gram"))
     return grams.groupBy("doc_id", "gram").agg(count_n()).groupBy("doc_id").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("different"))
 
 

@@ -49,13 +49,17 @@ def daily_quota(t: Tables) -> DataFrame:
 
 
 @query("str_concurrency", """
-    with e as (select user_id % 10 as k, epoch_us(ts) as micros, 1 as d from events union all select user_id % 10, epoch_us(ts) + 3600000000, -1 from events), r as (select k, sum(d) over (partition by k order by micros, d rows between unbounded preceding and current row) as n from e) select k, cast(max(n) as bigint) as most from r group by 1""")
+    with e as (select event_type as k, epoch_us(ts) as micros, 1 as d from events union all select event_type, epoch_us(ts) + 3600000000, -1 from events), r as (select k, sum(d) over (partition by k order by micros, d rows between unbounded preceding and current row) as n from e) select k, cast(max(n) as bigint) as most from r group by 1""")
 def concurrency(t: Tables) -> DataFrame:
-    """Most sessions of an hour at once: a running sum of starts and ends."""
+    """Most sessions of an hour at once, of each kind: a running sum of starts and ends, within bins of an hour and over the bins."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    moves = t.events.select(F.pmod("user_id", F.lit(10)).alias("k"), F.explode(F.array(F.struct(at.alias("at"), F.lit(1).alias("d")), F.struct((at + 3600000000).alias("at"), F.lit(-1).alias("d")))).alias("m"))
-    run = F.sum("m.d").over(W.partitionBy("k").orderBy("m.at", "m.d").rowsBetween(W.unboundedPreceding, 0))
-    return moves.select("k", run.alias("n")).groupBy("k").agg(F.max("n").alias("most"))
+    moves = t.events.select(F.col("event_type").alias("k"), F.explode(F.array(F.struct(at.alias("at"), F.lit(1).alias("d")), F.struct((at + 3600000000).alias("at"), F.lit(-1).alias("d")))).alias("m"))
+    binned = moves.select("k", F.floor(F.col("m.at") / 3600000000).alias("bin"), "m.at", "m.d")
+    before = F.coalesce(F.sum("net").over(W.partitionBy("k").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy("k", "bin").agg(F.sum("d").alias("net")).select("k", "bin", before.alias("open"))
+    run = F.sum("d").over(W.partitionBy("k", "bin").orderBy("at", "d").rowsBetween(W.unboundedPreceding, 0))
+    within = binned.select("k", "bin", run.alias("n")).groupBy("k", "bin").agg(F.max("n").alias("n"))
+    return within.join(bins, ["k", "bin"]).groupBy("k").agg(F.max(F.col("open") + F.col("n")).alias("most"))
 
 
 @query("str_expiry", """
