@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="vakya-files-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
     """JSON lines with a fixed schema; empty lines are skipped. Not strict: broken lines keep their text in ``_corrupt_record``."""
     if strict:
@@ -90,6 +103,11 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
+def markdown_line(*columns: str) -> Column:
+    """A row of a Markdown table."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]), F.lit(" |"))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, md5, sha256) of each file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
