@@ -121,3 +121,69 @@ def debounce(t: Tables) -> DataFrame:
 def rate_limit(t: Tables) -> DataFrame:
     """Admitted requests: at most three admitted ones in any six hours of a key."""
     return O.rate_limit_batch(t.events.select("user_id", "event_id", "ts"), "user_id", "ts", "event_id", 3, 6 * 3600.0)
+
+
+@query("str_adaptive_gate", """
+    with f as (select user_id, event_id, ts, value, quantile_cont(value, 0.25) over (partition by user_id order by ts, event_id rows between 20 preceding and 1 preceding) as floor from events), g as (select *, value > coalesce(least(floor + 20, 80), 80) as loud from f)
+    select event_id, round(floor, 6) as noise, loud, max(case when loud then 1 else 0 end) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) = 1 as open from g""")
+def adaptive_gate(t: Tables) -> DataFrame:
+    """A gate that opens above the noise of the last twenty frames and a margin, and stays open for two more."""
+    floor = F.expr("percentile(value, 0.25d) over (partition by user_id order by ts, event_id rows between 20 preceding and 1 preceding)")
+    f = t.events.select("user_id", "event_id", "ts", "value", floor.alias("noise"))
+    g = f.withColumn("loud", F.col("value") > F.coalesce(F.least(F.col("noise") + 20, F.lit(80.0)), F.lit(80.0)))
+    hang = F.max(F.when(F.col("loud"), 1).otherwise(0)).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0))
+    return g.select("event_id", F.round("noise", 6).alias("noise"), "loud", (hang == 1).alias("open"))
+
+
+@query("str_turn_filler", """
+    with i as (select *, sum(case when event_type = 'view' then 1 else 0 end) over (partition by user_id order by ts, event_id) as turn from events), q as (select *, sum(case when event_type = 'click' then 1 else 0 end) over w as quiet, sum(case when event_type = 'signup' then 1 else 0 end) over w as checks from i window w as (partition by user_id, turn order by ts, event_id))
+    select user_id, count(*) as fillers, min(event_id) as first from q where event_type = 'click' and quiet = 2 and checks = 0 and turn > 0 group by 1""")
+def turn_filler(t: Tables) -> DataFrame:
+    """A filler at the second quiet frame after a user's turn, once a turn; a check line or the user's next turn cancels it."""
+    is_ = lambda kind: F.when(F.col("event_type") == kind, 1).otherwise(0)
+    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    turns = t.events.withColumn("turn", F.sum(is_("view")).over(order))
+    within = W.partitionBy("user_id", "turn").orderBy("ts", "event_id")
+    counted = turns.withColumn("quiet", F.sum(is_("click")).over(within)).withColumn("checks", F.sum(is_("signup")).over(within))
+    return counted.where("event_type = 'click' and quiet = 2 and checks = 0 and turn > 0").groupBy("user_id").agg(count_n().alias("fillers"), F.min("event_id").alias("first"))
+
+
+@query("str_turn_release", """
+    with n as (select event_id, user_id, event_type, ts, lead(event_type) over w as next, lead(ts) over w as next_ts, lead(event_type, 2) over w as after from events window w as (partition by user_id order by ts, event_id))
+    select event_id, case when next_ts is null or next_ts > ts + interval 12 hours then 'timeout_silent' when next = 'view' then 'barge_in' when next = 'purchase' then 'hold' when next = 'click' and after = 'click' then 'b2b' when next = 'click' then 'model_end' else 'tail' end as reason, round(least(coalesce(epoch_us(next_ts) - epoch_us(ts), 43200000000), 43200000000) / 1000000.0, 3) as held_s from n where event_type = 'purchase'""")
+def turn_release(t: Tables) -> DataFrame:
+    """Why a held turn is released: by what comes next, or after a time without anything."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    n = t.events.select("event_id", "event_type", "ts", F.lead("event_type").over(w).alias("next"), F.lead("ts").over(w).alias("next_ts"), F.lead("event_type", 2).over(w).alias("after")).where("event_type = 'purchase'")
+    late = F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts") + F.expr("interval 12 hours"))
+    nxt = F.col("next")
+    reason = F.when(late, "timeout_silent").when(nxt == "view", "barge_in").when(nxt == "purchase", "hold").when((nxt == "click") & (F.col("after") == "click"), "b2b").when(nxt == "click", "model_end").otherwise("tail")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    held = F.least(F.coalesce(micros("next_ts") - micros("ts"), F.lit(43200000000)), F.lit(43200000000))
+    return n.select("event_id", reason.alias("reason"), F.round(held / F.lit(1000000.0), 3).alias("held_s"))
+
+
+@query("str_session_states", """
+    with s as (select user_id, ts, event_id, case event_type when 'signup' then 'queued' when 'view' then 'ready' when 'click' then 'live' when 'purchase' then 'ended' else 'idle' end as state from events), l as (select *, lag(state) over w as before, lag(ts) over w as since from s window w as (partition by user_id order by ts, event_id))
+    select before, state, count(*) as n, round(sum(epoch_us(ts) - epoch_us(since)) / 1000000.0, 3) as seconds, (before = 'queued' and state = 'ready') or (before = 'ready' and state = 'live') or (before = 'live' and state = 'ended') or before = state as allowed from l where before is not null group by 1, 2""")
+def session_states(t: Tables) -> DataFrame:
+    """Changes of state of sessions with the time before them, and whether they are allowed."""
+    kind = F.col("event_type")
+    state = F.when(kind == "signup", "queued").when(kind == "view", "ready").when(kind == "click", "live").when(kind == "purchase", "ended").otherwise("idle")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    s = t.events.select("user_id", "ts", "event_id", state.alias("state"))
+    pairs = s.select("state", F.lag("state").over(w).alias("before"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))).alias("micros")).where("before is not null")
+    steps = F.concat_ws(">", "before", "state").isin("queued>ready", "ready>live", "live>ended") | (F.col("before") == F.col("state"))
+    return pairs.groupBy("before", "state").agg(count_n(), F.round(F.sum("micros") / F.lit(1000000.0), 3).alias("seconds")).withColumn("allowed", steps)
+
+
+@query("str_frame_lag", """
+    with a as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events where event_type = 'view'), b as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events where event_type = 'click'), j as (select a.user_id, (epoch_us(b.ts) - epoch_us(a.ts)) / 1000.0 as ms from a join b using (user_id, k))
+    select user_id, count(*) as frames, round(quantile_cont(ms, 0.5), 3) as p50, round(quantile_cont(ms, 0.95), 3) as p95, count(*) filter (where ms < 0) as before_sent from j group by 1""")
+def frame_lag(t: Tables) -> DataFrame:
+    """Times between sending frame k and its arrival, with percentiles."""
+    k = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    side = lambda kind, name: t.events.where(F.col("event_type") == kind).select("user_id", k.alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias(name))
+    j = side("view", "sent").join(side("click", "came"), ["user_id", "k"]).withColumn("ms", (F.col("came") - F.col("sent")) / F.lit(1000.0))
+    p = lambda q: F.round(F.expr(f"percentile(ms, {q}d)"), 3)
+    return j.groupBy("user_id").agg(count_n().alias("frames"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.count_if(F.col("ms") < 0).alias("before_sent"))
