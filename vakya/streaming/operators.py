@@ -122,3 +122,60 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame
 def first_of_each(df: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
     """Drops repeats of the keys within the watermark."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def daily_quota(df: DataFrame, key: str, ts: str, most: int, late: str) -> DataFrame:
+    """Uses of a key by day, and whether they are over the quota; for streams and batches."""
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    counted = timed.groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(key, F.col("w.start").alias("day"), "n", (F.col("n") > most).alias("over_quota"))
+
+
+def stage_latency(df: DataFrame, key: str, ts: str, stage: str, stages: list[str]) -> DataFrame:
+    """Seconds from each stage of a key to the next, by their first times; for streams in update or complete mode, and batches."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    first = df.groupBy(key).agg(*[F.min(F.when(F.col(stage) == s, at)).alias(s) for s in stages])
+    return first.select(key, *[F.round((F.col(b) - F.col(a)) / F.lit(1000000.0), 3).alias(f"{a}_to_{b}") for a, b in zip(stages, stages[1:], strict=False)])
+
+
+def latest_of_each(df: DataFrame, key: str, ts: str, tie: str, kind: str, value: str, kinds: list[str]) -> DataFrame:
+    """The latest value of each kind of event of a key, and how many events are of no known kind; for streams in update or complete mode, and batches."""
+    is_ = lambda k: F.col(kind) == k
+    latest = [F.max_by(F.when(is_(k), F.col(value)), F.when(is_(k), F.struct(ts, tie))).alias(f"last_{k}") for k in kinds]
+    return df.groupBy(key).agg(*latest, F.count_if(~F.col(kind).isin(*kinds)).alias("unknown"))
+
+
+def expired(df: DataFrame, key: str, ts: str, idle: str, late: str) -> DataFrame:
+    """Sessions of a key with the time at which they expire: their last event and the idle time; for streams and batches."""
+    return sessions(df, key, ts, idle, late).select(key, F.col("start"), F.col("stop").alias("expires"), "n")
+
+
+class Ring:
+    """What a buffer of the last seconds holds: the number of events, including this one."""
+
+    def __init__(self, seconds: float, held: list[float] | None = None) -> None:
+        self.seconds, self.held = seconds, deque(held or [])
+
+    def step(self, at: float) -> int:
+        while self.held and self.held[0] < at - self.seconds:
+            self.held.popleft()
+        self.held.append(at)
+        return len(self.held)
+
+    def state(self) -> tuple[list[float]]:
+        return (list(self.held),)
+
+
+def ring_counts(df: DataFrame, key: str, ts: str, tie: str, seconds: float) -> DataFrame:
+    """(key, tie, held) of a stream: events of the last seconds at each event. The state of a key is bounded by what the time holds."""
+    kind, tie_kind = dict(df.dtypes)[key], dict(df.dtypes)[tie]
+    timed = df.select(key, tie, _seconds(ts).alias("at"))
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fold = Ring(seconds, list(state.get[0]) if state.exists else [])
+        rows = pd.concat(list(frames)).sort_values(["at", tie])
+        rows["held"] = [fold.step(at) for at in rows["at"]]
+        state.update(fold.state())
+        yield rows[[key, tie, "held"]]
+
+    return timed.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, `{tie}` {tie_kind}, held long", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
