@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Number words.
 SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+HINDI = "ek do teen char paanch chhah saat aath nau".split()
+DEVANAGARI = "एक दो तीन चार पाँच छह सात आठ नौ".split()
 SCALES = {"hundred": 100, "thousand": 1000, "lakh": 100_000, "crore": 10_000_000}
 IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 VALUES = {w: i for i, w in enumerate(SMALL)} | {w: 10 * i for i, w in enumerate(TENS, 2)}
