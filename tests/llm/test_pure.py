@@ -70,6 +70,30 @@ def test_quality_of_kinds():
     assert quality.measure("a #b\n\na #b\n c", bands, pack)[:5] == (5, 7, 2, 1, 0)
 
 
+def test_bands_against_brute_force():
+    pack, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
+    rng = random.Random(3)
+    for k in range(60):
+        kind = k % 4
+        words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 9))) for _ in range(rng.choice([20, 60, 300, 3000]))]
+        text = " ".join(words if kind < 2 else [rng.choice(words[:5]) for _ in words] if kind == 2 else [*words[: len(words) // 2], *["same"] * len(words)])
+        data = text.encode()
+        parts = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+        if len(parts) > 1 and len(parts[-1]) < 1024:
+            last = parts.pop()
+            parts[-1] += last
+        ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+
+        def fits(x):
+            low, high = next((a, b) for below, a, b in bands.limits if len(x) < below)
+            return low <= ratio(x) <= high
+
+        bad = sum(not fits(x) for x in parts)
+        got = quality.measure(text, bands, pack)
+        assert got[7] == ratio(data) and got[8:10] == (len(parts), bad)
+        assert got[6] == (not got[5] and fits(data) and 2 * bad <= len(parts))
+
+
 def png(data=b"\0\0\0\0"):
     chunk = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
@@ -88,6 +112,12 @@ def test_sniffing():
     assert media.carve(png()[:-1], magics) == []
     assert media.carve(b"", magics) == []
     assert media.inspect(wav(b"abcd"), "image/png", magics)[:3] == ("audio/wav", False, 4)
+    assert "rate=8000" in media.inspect(wav(b"abcd"), None, magics)[-1]
+    assert media.carve(b"%PDF-1.4 x startxref 9 %%EOF tail", magics) == [(0, 28, "application/pdf")]
+    for mark in (b"%PDF-1.4 startxref ", b"PK\x03\x04", b"\xff\xd8\xff\xda\0\x02"):
+        began = time.process_time()
+        media.carve(b"x" + mark * 60_000, magics)
+        assert time.process_time() - began < 5
 
 
 def test_html():

@@ -26,9 +26,10 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_payload(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    found = media.sniff_media(stored, ["doc_id", "n_bytes"])
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type")
+    """The stored objects come declared as text, which the sniffed type corrects; objects within them are counted."""
+    stored = media.store_payload(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text").withColumn("declared", F.lit("text/plain"))
+    found = media.sniff_media(stored, ["doc_id", "n_bytes", "declared"], declared_col="declared")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "media_type", "declared_ok", F.size("embedded").cast("long").alias("n_embedded"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
