@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import tiktoken
+import xxhash
 
 import public_tokenizers as P
 from vakya.llm import bpe, components, html_text, katz, license_scan, line_dedup, media, near_dup, packing, quality, url_filter
@@ -228,7 +229,7 @@ def test_style_tree_against_brute_force(spark):
     assert not got
 
 
-def test_katz(docs, none):
+def test_katz(docs, none, tmp_path):
     got = katz.score_corpus(docs).collect()
     assert ids(got) == WANT_IDS
     texts = [(i, TEXTS[i] or "") for i in WANT_IDS]
@@ -259,6 +260,12 @@ def test_katz(docs, none):
         if all(bi[a, b] or a in alpha or not hist[a] for a, b in zip(w, w[1:], strict=False)):
             want = sum(math.log10(kept(bi[a, b]) / hist[a] if bi[a, b] else alpha.get(a, 1) * p1(b)) for a, b in zip(w, w[1:], strict=False))
             assert math.isclose(r.score, want, rel_tol=1e-9)
+    stored = katz.count_tables(docs, str(tmp_path / "counts"))
+    by_word = collections.Counter()
+    for r in stored.collect():
+        by_word[r.word & (1 << 64) - 1] += r.n
+    names = {xxhash.xxh3_64_intdigest(x): x for x in uni if x != "</s>"} | {int(katz.END): "</s>"}
+    assert {names[k]: v for k, v in by_word.items()} == dict(uni) and stored.count() == len(bi)
     assert katz.score_corpus(none).collect() == []
     odd = docs.sparkSession.createDataFrame([(None, "a b"), (-1, "a b"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in katz.score_corpus(odd).collect()) == [(False, -1, 3), (False, 3, 1), (True, 0, 3)]

@@ -25,6 +25,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -361,14 +362,19 @@ def backed_off(table: pa.Table, size: int) -> pa.Table:
     return part_table(out)
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
+@dataclass(frozen=True)
+class Prepared:
+    """The corpus dealt out by word, and what bounds it."""
 
-    Training texts are those whose crc32 of the id as text, mod 7, isn't 2. A null text is the empty text, which has
-    one token, its end; a null id counts as the empty text in the remainder; repeated rows count and score as often as
-    they occur; an empty table gives an empty result; other columns are ignored. Without training texts every token is
-    unknown.
-    """
+    dealt: DataFrame
+    hot: dict[int, int]
+    keys: list[int]
+    widely_used: np.ndarray
+    n_train: int
+    n_docs: int
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str) -> Prepared:
     spark = docs.sparkSession
     small_batches(spark, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -377,7 +383,40 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = balanced_keys(spark, buckets)
     hot, n_train, n_docs = frequent(rows, 1 / (4 * buckets))
     widely_used = np.array([int(START), *(w for w, c in hot.items() if c >= HOT_HISTORY * n_train and w != int(END))], np.uint64)
-    dealt = blocks(rows, hot, keys).repartition(buckets, "bucket")
+    return Prepared(blocks(rows, hot, keys).repartition(buckets, "bucket"), hot, keys, widely_used, n_train, n_docs)
+
+
+def count_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the training counts of the model to tables at ``path``, partitioned by bucket: (bucket, history, word, n), words as 64-bit hashes.
+
+    A word's unigram count is the sum over its histories. ``score_corpus`` doesn't need the tables: it makes these counts
+    where it uses them, as storing them would cost as much disk again.
+    """
+    m = prepared(docs, id_col, text_col)
+    hot = m.hot
+
+    def pairs(table: pa.Table) -> pa.Table:
+        b = Bucket(table, hot)
+        seen = b.count > 0
+        n = int(seen.sum())
+        key = table.column("bucket")[0].as_py()
+        return pa.table([pa.array(np.full(n, key, np.int32)), pa.array(b.h[seen].view(np.int64)), pa.array(b.w[seen].view(np.int64)), pa.array(b.count[seen])], ["bucket", "history", "word", "n"])
+
+    counts = m.dealt.groupBy("bucket").applyInArrow(pairs, "bucket int, history long, word long, n long")
+    counts.write.partitionBy("bucket").mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema("bucket int, history long, word long, n long").parquet(path)
+
+
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
+
+    Training texts are those whose crc32 of the id as text, mod 7, isn't 2. A null text is the empty text, which has
+    one token, its end; a null id counts as the empty text in the remainder; repeated rows count and score as often as
+    they occur; an empty table gives an empty result; other columns are ignored. Without training texts every token is
+    unknown.
+    """
+    m = prepared(docs, id_col, text_col)
+    dealt, hot, keys, widely_used, n_train, n_docs, buckets = m.dealt, m.hot, m.keys, m.widely_used, m.n_train, m.n_docs, len(m.keys)
     v_hot = sum(c > 0 for c in hot.values())
     numbers = ", ".join(f"n{i} long" for i in range(1, MOST + 2))
 
