@@ -75,7 +75,7 @@ def consonant_skeleton(x: Column) -> Column:
 
 def sound_fold(x: Column) -> Column:
     """A phonetic key of our own: an h after a consonant goes, like sounds share a letter, vowels go, repeats are one."""
-    plain = F.regexp_replace(F.lower(x), "([b-df-hj-np-tv-z])h", "$1")
+    plain = F.regexp_replace(F.lower(x), "([b-df-gj-np-tv-z])h+", "$1")
     return F.regexp_replace(F.translate(plain, "qzwyaeiou", "kjv"), "(.)\\1+", "$1")
 
 
