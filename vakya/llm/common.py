@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,11 +77,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
+#: Bytes of the text columns of a broadcast table.
+BROADCAST_BYTES = 64 << 20
+
+
 def broadcast_if_small(df: DataFrame, rows: int, items: str | None = None) -> DataFrame:
-    """A broadcast hint only where a count shows that ``df`` has at most ``rows`` rows; otherwise Spark shuffles.
+    """A broadcast hint only where a count shows that ``df`` has at most ``rows`` rows and its text few bytes; otherwise Spark shuffles.
 
     With ``items``, the elements of that list column count too, so that long lists are bounded as well.
     """
+    texts = [name for name, kind in df.dtypes if kind in ("string", "binary")]
+    if items is None and texts:
+        size = reduce(Column.__add__, [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in texts])
+        n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
     if items is None:
         return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
     n = df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(items)), F.lit(0))).first()[0]
