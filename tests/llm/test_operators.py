@@ -57,11 +57,12 @@ def test_near_duplicates(docs, none):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
     assert near_dup.near_duplicates(none, plan).collect() == []
     kept = near_dup.drop_near_duplicates(docs, plan)
-    assert kept.columns == docs.columns and ids(kept.collect()) == sorted({*range(len(TEXTS))} - {6, 7})
+    assert kept.columns == docs.columns and ids(kept.collect()) == sorted({*range(len(TEXTS))} - {1, 2, 6, 7})  # of those without words the first stays
     assert near_dup.drop_near_duplicates(none, plan).collect() == []
     odd = docs.sparkSession.createDataFrame([(None, COPY), (None, prose(77)), (None, prose(77)), (3, COPY), (3, COPY), (None, None), (None, " ")], "doc_id long, text string")
     assert all(r.kept is not None for r in near_dup.near_duplicates(odd, plan).collect())
-    assert sorted(((r.doc_id, r.text) for r in near_dup.drop_near_duplicates(odd, plan).collect()), key=str) == sorted([(3, COPY), (None, prose(77)), (None, None), (None, " ")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in near_dup.drop_near_duplicates(odd, plan).collect()), key=str)[:2] == sorted([(3, COPY), (None, prose(77))], key=str)
+    assert near_dup.drop_near_duplicates(odd, plan).count() == 3  # and one row without words
 
 
 def test_chain_of_links(spark, monkeypatch):

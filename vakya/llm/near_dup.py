@@ -369,11 +369,13 @@ def in_groups(df: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one of the least id.
 
-    Documents without words stay. Of repeated rows of one id one stays, whichever Spark takes. Of rows without an id,
-    those whose text another row has go, but for one where none of these has an id. An empty table gives an empty
-    result; all columns stay.
+    Documents without words (also those whose lines an earlier stage has cut out whole) are copies of one another. Of
+    repeated rows of one id one stays, whichever Spark takes. Of rows without an id, those whose text another row has
+    go, but for one where none of these has an id. An empty table gives an empty result; all columns stay.
     """
-    gone = written(near_duplicates(docs, plan, id_col, text_col).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(id_col).distinct())
+    found = written(near_duplicates(docs, plan, id_col, text_col).where(F.col(id_col).isNotNull()).select(id_col, "n_shingles", "kept"))
+    first = found.where("n_shingles = 0").agg(F.min(id_col)).first()[0]
+    gone = written(found.where(~F.col("kept") | ((F.col("n_shingles") == 0) & (F.col(id_col) > F.lit(first)))).select(id_col).distinct())
     left = docs.join(broadcast_if_small(gone, BROADCAST_ROWS), id_col, "left_anti").select(*docs.columns)
     again = written(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col(id_col).isNull() | (F.col("__n") > 1)).select(id_col))
     if again.limit(1).count() == 0:
@@ -381,10 +383,8 @@ def drop_near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "do
     named = again.where(F.col(id_col).isNotNull())
     once = left.join(broadcast_if_small(named, BROADCAST_ROWS), id_col, "left_anti").where(F.col(id_col).isNotNull())
     repeated = left.join(broadcast_if_small(named, BROADCAST_ROWS), id_col, "left_semi").dropDuplicates([id_col])
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    digest = F.when(F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.sha2(F.col(text_col), 256)).otherwise("")
     nameless = left.where(F.col(id_col).isNull()).withColumn("__digest", digest)
     with_id = docs.where(F.col(id_col).isNotNull()).select(digest.alias("__digest")).distinct()
-    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    first = nameless.where(~wordless).dropDuplicates(["__digest"]).join(with_id, "__digest", "left_anti")
-    kept = [once, repeated, first, nameless.where(wordless)]
-    return reduce(DataFrame.unionByName, [x.select(*docs.columns) for x in kept])
+    single = nameless.dropDuplicates(["__digest"]).join(with_id, "__digest", "left_anti")
+    return reduce(DataFrame.unionByName, [x.select(*docs.columns) for x in (once, repeated, single)])
