@@ -176,7 +176,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     many as keep a group small, a member's to the group of its pair. A task streams its groups, leader first.
     """
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("groups"))
-    members = pairs.join(fans, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"), F.lit(1).alias("role"))
+    fans = written(fans)
+    wide = broadcast_if_small(fans.where("groups > 1"), BROADCAST_ROWS)  # leaders of more than FAN pairs
+    members = pairs.join(wide, "a", "left").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1).cast("long"))).alias("salt"), F.lit(1).alias("role"))
     leaders = fans.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = written(leaders.unionByName(members))
     dealt = sets.join(broadcast_if_small(wanted, BROADCAST_ROWS), "node").select("a", "salt", "role", "node", "shingles")
