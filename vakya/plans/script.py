@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..functions import script as SC
 from ..functions import text as X
 from .registry import Tables, count_n, query
 from .texts import ALNUM, FOLD
@@ -187,3 +188,29 @@ def edit_shares(t: Tables) -> DataFrame:
     s = rows.withColumn("e", D.word_edits("hyp", "ref")).groupBy("role").agg(F.sum("e.substituted").alias("s"), F.sum("e.deleted").alias("d"), F.sum("e.inserted").alias("i"))
     total = F.col("s") + F.col("d") + F.col("i")
     return s.select("role", "s", "d", "i", *[F.round(F.try_divide(F.col(x), total), 6).alias(f"{x}_share") for x in "sdi"])
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two short arrays: a fold over one, with the row of the table for the other."""
+    places = F.sequence(F.lit(1), F.size(b))
+
+    def row(above: Column, x: Column) -> Column:
+        first = F.array(F.lit(0))
+        return F.aggregate(places, first, lambda done, j: F.array_append(done, F.when(x == F.element_at(b, j), F.element_at(above, j) + 1).otherwise(F.greatest(F.element_at(above, j + 1), F.element_at(done, j)))))
+
+    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
+
+
+@query("ma_sound_alignment", """
+    with n as (select distinct p_name as name from part) select name, length(name) - case when length(name) % 2 = 0 then 1 else 0 end as matched, 0 as only_deva, case when length(name) % 2 = 0 then 1 else 0 end as only_latin from n""")
+def sound_alignment(t: Tables) -> DataFrame:
+    """Units of sound of a name in two scripts, aligned in order: how many match, and what either side has alone.
+
+    Every second name lacks its last letter in Devanagari. Units are compared by the Latin letters that they stand for.
+    """
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    heard = F.when(F.length("name") % 2 == 0, F.regexp_replace("name", ".$", "")).otherwise(F.col("name"))
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    rows = names.select("name", letters(SC.in_latin(SC.in_devanagari(heard))).alias("a"), letters("name").alias("b"))
+    matched = rows.select("name", "a", "b", common_length(F.col("a"), F.col("b")).alias("matched"))
+    return matched.select("name", F.col("matched").cast("bigint"), (F.size("a") - F.col("matched")).cast("int").alias("only_deva"), (F.size("b") - F.col("matched")).cast("int").alias("only_latin"))
