@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, conversation_repair, html_text, katz, license_scan, line_dedup, media, near_dup, packing, quality, url_filter
+from . import bpe, collocations, conversation_repair, html_text, katz, license_scan, line_dedup, media, near_dup, packing, quality, secret_scan, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_license_scans": op2_license_scans,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 def level_sql(k: int) -> str:
