@@ -90,7 +90,7 @@ def test_auction_is_exact():
     for k in range(400):
         codes = "".join(rng.choice("ssuuuaaao") + rng.choice("kkkktbd") for _ in range(rng.randrange(0, 40)))
         cost, letters = cheapest(codes)
-        got, end = R.traces(codes, list(R.ENDS))[0]
+        got, end = R.traces(codes, R.ENDS)[0]
         assert got + R.TAILS[end] == letters
         assert R.price_of(letters, codes) == cost == R.chained(R.distances(codes), list(R.ENDS))[0]
 
@@ -100,7 +100,7 @@ def test_blocks_are_chained():
     codes = "".join(rng.choice("suuaao") + rng.choice("kkktbd") for _ in range(200))
     parts = [codes[i : i + 26] for i in range(0, 400, 26)]
     back = list(R.back_chain(("x", k, p, R.distances(p)) for k, p in reversed(list(enumerate(parts)))))[::-1]
-    traced = [(c, k, p, last, *map(list, zip(*R.traces(p, exits), strict=True))) for c, k, p, exits, last in back]
+    traced = [(c, k, p, last, *map(list, zip(*R.traces(p, tuple(exits)), strict=True))) for c, k, p, exits, last in back]
     forth = list(R.forth_chain(iter(traced)))
     assert ("".join(r[2] for r in forth), sum(r[4] for r in forth)) == cheapest(codes)[::-1]
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -96,6 +97,7 @@ def auction(nodes: list[list[Arc]], origin: int, target: int, price: list[int],
             path.append(to)
 
 
+@lru_cache(1 << 14)  # short conversations look alike
 def distances(codes: str) -> list[int]:
     """Cost from each state to each state over a block, row by row; -1 where there is no path."""
     nodes = lattice(codes)
@@ -110,7 +112,8 @@ def distances(codes: str) -> list[int]:
     return found
 
 
-def traces(codes: str, exits: list[int]) -> list[tuple[str, int]]:
+@lru_cache(1 << 14)
+def traces(codes: str, exits: tuple[int, ...]) -> list[tuple[str, int]]:
     """From each state: the letters of the cheapest way through a block, given the prices of its exits, and the state it ends in; of equally cheap ways the one with the least letters."""
     nodes = lattice(codes)
     target, least = len(nodes), min(exits)
@@ -266,7 +269,7 @@ def find_repairs(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     def trace(rows: Iterator[tuple]) -> Iterator[tuple]:
         for conv, block, codes, exits, last in rows:
-            found = traces(codes, exits)
+            found = traces(codes, tuple(exits))
             yield conv, block, codes, last, [x for x, _ in found], [x for _, x in found]
 
     def arrow(source: DataFrame, f: Callable, fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
