@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..streaming import correlate as C
+from ..streaming import dialogue as D
+from ..streaming import machines as M
 from ..streaming import operators as O
 from .registry import Tables, count_n, query
 
@@ -187,3 +190,101 @@ def frame_lag(t: Tables) -> DataFrame:
     j = side("view", "sent").join(side("click", "came"), ["user_id", "k"]).withColumn("ms", (F.col("came") - F.col("sent")) / F.lit(1000.0))
     p = lambda q: F.round(F.expr(f"percentile(ms, {q}d)"), 3)
     return j.groupBy("user_id").agg(count_n().alias("frames"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.count_if(F.col("ms") < 0).alias("before_sent"))
+
+
+@query("str_segment_texts", """
+    with e as (select *, event_type || case when event_type = 'purchase' then '. ' else ' ' end as piece from events), f as (select *, lag(ts) over w as before, lag(event_type) over w as last from e window w as (partition by user_id order by ts, event_id)), s as (select *, sum(case when before is null or ts - before > interval 12 hours or last = 'purchase' then 1 else 0 end) over (partition by user_id order by ts, event_id) as seg from f)
+    select user_id, arg_min(event_id, row(ts, event_id)) as first, min(epoch_us(ts)) as start, max(epoch_us(ts)) as stop, trim(string_agg(piece, '' order by ts, event_id)) as text, cast(count(*) as int) as pieces from s group by user_id, seg""")
+def segment_texts(t: Tables) -> DataFrame:
+    """Texts of segments, closed by a gap of more than twelve hours or early by a piece that ends a sentence; the machine that also runs on streams."""
+    piece = F.concat("event_type", F.when(F.col("event_type") == "purchase", ". ").otherwise(" "))
+    return M.fold_batch(t.events.withColumn("piece", piece), "user_id", "ts", "event_id", ["piece", "event_id"], lambda: D.Segments(12 * 3600), D.Segments.FIELDS).drop("closed")
+
+
+HOUR = 3600.0
+PATIENCE = D.Patience(2 * HOUR, 4 * HOUR, HOUR, 6 * HOUR, 10 * HOUR, 20 * HOUR, 15 * HOUR, 3 * HOUR, 30 * HOUR)
+LIMITS = D.Limits(12 * HOUR, 12 * HOUR, 24 * HOUR, 6 * HOUR)
+
+
+def told(t: Tables, **kinds: str) -> DataFrame:
+    """Events with the kind that each type stands for."""
+    pairs = [x for name, kind in kinds.items() for x in (F.lit(name), F.lit(kind))]
+    return t.events.withColumn("kind", F.create_map(*pairs)[F.col("event_type")]).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
+@query("str_turn_machine")
+def turn_machine(t: Tables) -> DataFrame:
+    """All reasons for which a caller's turn is released or held, with timers: purchases are turns, all else is the model's speech."""
+    words = F.create_map(*[F.lit(x) for x in ("click", "Yes.", "view", " and", "signup", " hold on")])[F.col("event_type")]
+    turn = F.col("kind") == "turn"
+    rows = told(t, click="speech", view="speech", signup="speech", error="speech", purchase="turn").select("user_id", "ts", "event_id", "kind", words.alias("piece"), F.when(turn, F.col("value") * 60).alias("seconds"), F.when(turn, F.col("k") < 30).alias("again"))
+    return M.fold_batch(rows, "user_id", "ts", "event_id", ["kind", "piece", "seconds", "again"], lambda: D.Release(PATIENCE), D.Release.FIELDS)
+
+
+@query("str_filler_machine")
+def filler_machine(t: Tables) -> DataFrame:
+    """Fillers after two quiet hours, but not after a sign-up; a purchase is the user's voice."""
+    rows = told(t, click="model", view="model", signup="model", error="model", purchase="user").withColumn("piece", F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")))
+    return M.fold_batch(rows, "user_id", "ts", "event_id", ["kind", "piece"], lambda: D.Filler(2 * HOUR, HOUR, "signup"), D.Filler.FIELDS)
+
+
+@query("str_session_machine")
+def session_machine(t: Tables) -> DataFrame:
+    """States of sessions with the time in each; what nobody takes, asks for or ends is closed by timers."""
+    rows = told(t, signup="waking", error="busy", view="ready", click="in_call", purchase="ended")
+    return M.fold_batch(rows, "user_id", "ts", "event_id", ["kind"], lambda: D.Session(LIMITS), D.Session.FIELDS)
+
+
+@query("str_slot_claims")
+def slot_claims(t: Tables) -> DataFrame:
+    """Claims of the slot that the props name, by users; an unused claim lapses after six hours."""
+    rows = told(t, click="claim", view="claim", signup="start", purchase="release").select("k", "ts", "event_id", "kind", F.col("user_id").cast("string").alias("who"), (F.col("user_id") % 2).cast("string").alias("terms"))
+    return M.fold_batch(rows, "k", "ts", "event_id", ["kind", "who", "terms"], lambda: D.Claims(6 * HOUR), D.Claims.FIELDS)
+
+
+@query("str_gate_frames", """
+    with f as (select user_id, event_id, ts, value, count(*) over w as n, quantile_cont(value, 0.25) over w as floor from events window w as (partition by user_id order by ts, event_id rows between 19 preceding and current row)),
+    g as (select *, case when n >= 5 then floor end as noise, case when n >= 5 then least(greatest(10.0, floor + 20), 80.0) else 10.0 end as opening from f)
+    select event_id, round(noise, 6) as noise, round(opening, 6) as opening, max(case when value > opening then 1 else 0 end) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) = 1 as open from g""")
+def gate_frames(t: Tables) -> DataFrame:
+    """The gate of each frame, from the order statistic that the machine keeps of the last twenty frames."""
+    f = gate_gain(t)
+    return f.select(F.col("id").alias("event_id"), F.round("noise", 6).alias("noise"), F.round("opening", 6).alias("opening"), "open")
+
+
+@query("str_gate_gain")
+def gate_gain(t: Tables) -> DataFrame:
+    """Gate and gain of each frame: the gain follows the level of speech, fast up and slowly down."""
+    return M.fold_batch(t.events, "user_id", "ts", "event_id", ["value", "event_id"], D.Gate, D.Gate.FIELDS)
+
+
+def sides(t: Tables, asks: str, answers: str) -> tuple[DataFrame, DataFrame]:
+    of = lambda kind: t.events.where(F.col("event_type") == kind).select("event_id", "user_id", F.get_json_object("props", "$.k").alias("k"), "ts")
+    return of(asks), of(answers)
+
+
+@query("str_answers", """
+    with e as (select event_id, user_id, json_extract_string(props, '$.k') as k, ts, event_type from events)
+    select p.event_id, round((epoch_us(q.ts) - epoch_us(p.ts)) / 1000000.0, 6) as lag_s from e p left join e q on q.event_type = 'view' and p.user_id = q.user_id and p.k = q.k and q.ts >= p.ts and q.ts <= p.ts + interval 3 days where p.event_type = 'click'""")
+def answers(t: Tables) -> DataFrame:
+    """Every ping with its answers within three days, and the lost ones; the same join runs on two streams."""
+    return C.answered(*sides(t, "click", "view"), ["user_id", "k"], "ts", "3 days", "1 hour").select("event_id", "lag_s")
+
+
+@query("str_answer_report", """
+    with e as (select event_id, user_id, json_extract_string(props, '$.k') as k, ts, event_type from events), j as (select p.ts, (epoch_us(q.ts) - epoch_us(p.ts)) / 1000000.0 as lag from e p left join e q on q.event_type = 'view' and p.k = q.k and q.ts >= p.ts and q.ts <= p.ts + interval 6 hours where p.event_type = 'click')
+    select date_trunc('day', ts) as start, count(lag) as answered, count(*) filter (where lag is null) as lost, round(quantile_cont(lag, 0.5), 6) as p50, round(quantile_cont(lag, 0.95), 6) as p95 from j group by 1""")
+def answer_report(t: Tables) -> DataFrame:
+    """Answers by frame number alone within six hours, by day: a hundred ids share all rows, so the bins of time deal them out."""
+    pairs = C.answered(*sides(t, "click", "view"), ["k"], "ts", "6 hours", "1 hour")
+    return C.lag_report(pairs.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("str_frame_delivery", """
+    with e as (select user_id, json_extract_string(props, '$.k') as k, ts, event_type from events), j as (select p.user_id, (epoch_us(q.ts) - epoch_us(p.ts)) / 1000.0 as ms from e p left join e q on q.event_type = 'error' and p.user_id = q.user_id and p.k = q.k and q.ts >= p.ts and q.ts <= p.ts + interval 10 days where p.event_type = 'signup')
+    select user_id, count(*) as frames, count(*) filter (where ms is null) as lost, round(quantile_cont(ms, 0.5), 3) as p50, round(quantile_cont(ms, 0.95), 3) as p95 from j group by 1""")
+def frame_delivery(t: Tables) -> DataFrame:
+    """Times from the sending of frame k to its arrival by sender, with lost frames."""
+    pairs = C.answered(*sides(t, "signup", "error"), ["user_id", "k"], "ts", "10 days", "1 hour").withColumn("ms", F.col("lag_s") * 1000)
+    p = lambda q: F.round(F.expr(f"percentile(ms, {q}d)"), 3)
+    return pairs.groupBy("user_id").agg(count_n().alias("frames"), F.count_if(F.col("ms").isNull()).alias("lost"), p(0.5).alias("p50"), p(0.95).alias("p95"))
