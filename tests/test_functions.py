@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from vakya.functions import distance, numbers, script
 from vakya.streaming import operators
@@ -32,9 +33,46 @@ def test_numbers_in_text():
     assert numbers.numbers_in("Rs 1,25,000 for A12 on 5 or 9 8 7 6 5") == ["125000", "12", "5", "98765"]
 
 
-@pytest.mark.parametrize(("word", "roman"), [("नमस्ते", "namaste"), ("कमल", "kamal"), ("ज़रा", "zaraa"), ("abc", "abc"), ("१२", "12"), ("न", "na")])
-def test_romanise(word, roman):
-    assert script.romanise_text(word) == roman
+def test_romanise(spark):
+    rows = [
+        ("नमस्ते", "namaste", "namaste", "namaste"), ("कमल", "kamal", "kamal", "kamal"), ("ज़रा", "zaraa", "zara", "zaraa"), ("abc", "abc", "abc", "abc"), ("१२ घर।", "12 ghar.", "12 ghar.", "12 ghar."), ("न", "na", "na", "na"),
+        ("बिलकुल", "bilakul", "bilakul", "bilkul"), ("समझना", "samajhanaa", "samajhana", "samajhnaa"), ("कमरा", "kamaraa", "kamara", "kamraa"), ("लड़की", "larakee", "laraki", "larkee"), ("सड़क पर चलना", "sarak par chalanaa", "sarak par chalana", "sarak par chalnaa"),
+        ("संपर्क", "sanpark", "sanpark", "sampark"), ("हाँ", "haan", "han", "haan"), ("दुःख", "duhkh", "duhkh", "duhkh"), ("बचपन", "bachapan", "bachapan", "bachpan"), ("अदरक", "adarak", "adarak", "adrak"), ("", "", "", ""), (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "w string").select("w", *[script.romanise(F.col("w"), p).alias(p) for p in ("plain", "short", "spoken")])
+    assert [tuple(r) for r in df.collect()] == rows
+
+
+def spoken(word):
+    """Syllables as a list, judged from the last to the first."""
+    units = []
+    for c in word:
+        if c in script.CONSONANTS or c in script.DOTTED:
+            units.append([c, "a"])
+        elif c in script.SIGNS:
+            units[-1][1] = c
+        elif c == script.VIRAMA:
+            units[-1][1] = ""
+        else:
+            units.append(["", c])
+    for k in range(len(units) - 1, -1, -1):
+        consonant, vowel = units[k]
+        if not consonant or vowel != "a":
+            continue
+        others = [u for i, u in enumerate(units) if i != k and u[1]]
+        end = k == len(units) - 1 and others
+        middle = 0 < k < len(units) - 1 and units[k - 1][1] and units[k + 1][0] and units[k + 1][1]
+        if end or middle:
+            units[k][1] = ""
+    return "".join((script.CONSONANTS | script.DOTTED).get(c, "") + ("a" if v == "a" else (script.SIGNS | script.VOWELS).get(v, "")) for c, v in units)
+
+
+def test_inherent_vowels_by_units(spark):
+    rng = random.Random(4)
+    consonants, signs, vowels = list(script.CONSONANTS) + list(script.DOTTED), list(script.SIGNS), list(script.VOWELS)
+    words = ["".join(rng.choice(consonants) + rng.choice(["", "", "", rng.choice(signs), script.VIRAMA]) if rng.random() < 0.9 else rng.choice(vowels) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", script.romanise(F.col("w"), "spoken").alias("s"))
+    assert [(r.w, r.s) for r in df.collect()] == [(w, spoken(w)) for w in words]
 
 
 def test_edit_counts():

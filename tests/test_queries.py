@@ -112,7 +112,7 @@ def test_romanised(spark):
 
     words = ["kamal", "dil", "mota", "suno", "pani", "gol"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", SC.in_devanagari(F.col("w")).alias("deva"))
-    rows = df.select("w", "deva", SC.in_latin(F.col("deva")).alias("back"), SC.romanise("full")("deva").alias("full")).collect()
+    rows = df.select("w", "deva", SC.in_latin(F.col("deva")).alias("back"), SC.romanise(F.col("deva"), "full").alias("full")).collect()
     assert all(r.back == r.w for r in rows)
     assert {r.w: r.full for r in rows}["dil"] == "dil"
 

@@ -62,4 +62,11 @@ def extracted(t: Tables) -> DataFrame:
 @query("sc_romanised")
 def romanised(t: Tables) -> DataFrame:
     """Text in Latin letters and a key for comparing spellings; text without Devanagari stays as it is."""
-    return t.conversations.select("conv_id", "turn", F.md5(SC.romanise()("text")).alias("roman"), F.md5(SC.normal_key("text")).alias("key"))
+    return t.conversations.select("conv_id", "turn", F.md5(SC.romanise(F.col("text"))).alias("roman"), F.md5(SC.normal_key("text")).alias("key"))
+
+
+@query("sc_inherent_vowels")
+def inherent_vowels(t: Tables) -> DataFrame:
+    """Whole texts, written in Devanagari letter by letter and read again as they are written, shortened, and spoken: the inherent vowel falls at the end of words and between syllables."""
+    deva = SC.in_devanagari(F.lower("text"))
+    return t.conversations.select("conv_id", "turn", *[F.md5(SC.romanise(deva, p)).alias(p) for p in ("plain", "short", "spoken")])
