@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grammar as G
 from ..functions import spoken as N
 from .registry import Tables, query
 
@@ -157,3 +158,21 @@ def aligned_tokens(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("written"))
     words = rows.select("o_orderkey", "written", F.posexplode(F.split(N.cardinal(F.col("written")), " ")).alias("i", "word"))
     return words.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_words"), F.max("written").alias("written"), F.min_by("word", "i").alias("first_word"))
+
+
+@query("num_grammar_texts")
+def grammar_texts(t: Tables) -> DataFrame:
+    """Whole texts of documents and conversations with their spoken numbers as digits, and how many numbers they then have."""
+    texts = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(t.conversations.select(F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"))
+    found = texts.select("id", "text", G.spoken_to_written("text").alias("written"))
+    return found.select("id", F.md5("written").alias("digest"), (F.col("written") != F.col("text")).alias("changed"), F.size(G.all_numbers("written")).alias("numbers"))
+
+
+@query("num_grammar_orders", """
+    select o_orderkey, 'Rs ' || cast(floor(o_totalprice) as bigint) || ' rupees for order ID EC' || lpad(cast(o_orderkey as varchar), 6, '0') || ', call ' || replace(c_phone, '-', '') || ' now' as written from orders join (select c_custkey, lpad(cast(c_custkey * 7919 + 1000000 as varchar), 10, '9') as c_phone from customer) on c_custkey = o_custkey""")
+def grammar_orders(t: Tables) -> DataFrame:
+    """Amounts by the Indian scale, identifiers and phones digit by digit, as they are said of each order, back to digits."""
+    phone = F.lpad((F.col("c_custkey") * 7919 + 1000000).cast("string"), 10, "9")
+    rows = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), phone.alias("phone")), "o_custkey")
+    said = F.concat(F.lit("Rs "), N.cardinal(F.floor("o_totalprice")), F.lit(" rupees for order ID EC "), N.digit_words(F.lpad(F.col("o_orderkey").cast("string"), 6, "0")), F.lit(", call "), N.digit_words(F.col("phone")), F.lit(" now"))
+    return rows.select("o_orderkey", G.spoken_to_written(said).alias("written"))
