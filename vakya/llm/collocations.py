@@ -32,7 +32,7 @@ from .common import broadcast_if_small, small_batches, written
 
 SHARD_BYTES = 8 << 20
 #: Hashes of a bucket, about.
-BUCKET_HASHES = 1 << 21
+BUCKET_HASHES = 1 << 20
 HASH_BITS = 48
 #: Bits of the filter of pairs (16 MB), and of one of its pages.
 FILTER_BITS, PAGE_BITS = 27, 19
@@ -102,7 +102,7 @@ class Words:
         letters = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, b" ."))])
         coded = letters.dictionary_encode()
         self.ids, self.names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        self.piece = np.cumsum(breaks, dtype=np.int64)[starts]
+        self.piece = np.cumsum(breaks, dtype=np.int32)[starts]
 
     def __len__(self) -> int:
         return len(self.ids)
