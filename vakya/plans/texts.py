@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import cuts as K
 from ..functions import text as X
 from .registry import Tables, count_n, query
 
@@ -308,3 +309,31 @@ def dimension_analysis(t: Tables) -> DataFrame:
     rows = t.labels.where("quality = 0").join(t.documents, "doc_id")
     dims = F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("-")), F.lit("source"), F.col("source"), F.lit("length"), F.when(F.col("n_chars") > 1000, "long").otherwise("short"))
     return rows.select("toxic", F.explode(dims).alias("dimension", "value")).groupBy("dimension", "value").agg(count_n(), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+@query("tx_best_cuts")
+def best_cuts(t: Tables) -> DataFrame:
+    """Whole texts of conversations in up to three pieces at their best boundaries, and the same cuts in the text without its articles."""
+    parallel = F.regexp_replace("text", "(?i)(^|(?<=\\s))(the|der|die|das|le|la|les|el|los)\\s+", "")
+    found = t.conversations.select("conv_id", "turn", K.cut_texts()("text", parallel).alias("c"))
+    return found.select("conv_id", "turn", *[F.array_join(f"c.{x}", ",").alias(x) for x in ("cuts", "parallel")], "c.forced", "c.way")
+
+
+ARTICLES = ", ".join(f"'{x}'" for x in K.ARTICLES)
+
+
+@query("tx_noise_protected", rf"""
+    with w as (select conv_id, turn, conv_id || '/' || turn as seed, string_split(text, ' ') as w from conversations where text is not null),
+    f as (select *, list_transform(w, lambda x: regexp_matches(x, '[0-9@]|^[A-Z]')) as p, list_transform(w, lambda x: list_contains([{ARTICLES}], lower(x))) as art from w),
+    k as (select *, coalesce(list_min(list_transform(list_filter(range(1, len(w)), lambda i: not p[i] and not p[i + 1] and not art[i] and not art[i + 1] and regexp_matches(w[i], '^[A-Za-z]+$')), lambda i: row(md5(seed || ':pair:' || i), i)))[2], 0) as pair from f),
+    s as (select *, coalesce(list_min(list_transform(list_filter(range(1, len(w) + 1), lambda i: not p[i] and regexp_matches(w[i], '^[A-Za-z]{{5,}}$') and i <> pair and i <> pair + 1), lambda i: row(md5(seed || ':swap:' || i), i)))[2], 0) as swap from k),
+    l as (select *, ('0x' || substr(md5(seed || ':letter:' || swap), 1, 4))::int % greatest(length(w[swap]) - 3, 1) + 2 as place from s)
+    select conv_id, turn, array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i:
+        case when art[i] and not p[i] and ('0x' || substr(md5(seed || ':drop:' || i), 1, 4))::int % 3 = 0 then null when pair > 0 and i = pair + 1 then null when pair > 0 and i = pair then w[i] || w[i + 1]
+             when i = swap then substr(w[i], 1, place - 1) || substr(w[i], place + 1, 1) || substr(w[i], place, 1) || substr(w[i], place + 2) else w[i] end), lambda x: x is not null), ' ') as noisy from l""")
+def noise_protected(t: Tables) -> DataFrame:
+    """Whole texts with articles dropped, a pair merged and a word misspelt; words with digits, at signs or a capital stay as they are."""
+    words = F.split("text", " ")
+    protected = F.transform(words, lambda x: x.rlike("[0-9@]|^[A-Z]"))
+    seed = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return t.conversations.where("text is not null").select("conv_id", "turn", F.array_join(K.noisy(words, protected, seed), " ").alias("noisy"))
