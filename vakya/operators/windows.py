@@ -31,3 +31,13 @@ def after(df: DataFrame, key: str, order: list[str], value: Column, out: str) ->
     """The first non-null value of later rows of the key."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
     return df.withColumn(out, F.first(value, ignorenulls=True).over(w))
+
+
+def rank_in_bins(df: DataFrame, group: list[str], bin_: Column, order: list[str], out: str = "rank") -> DataFrame:
+    """The rank of each row of a group from 1, in the order of the bins and then of ``order``: rows are ranked within bins, which are counted first, so a group may be larger than a task. Bins must be ordered as ``order`` would order them."""
+    binned = df.withColumn("__bin", bin_)
+    sizes = binned.groupBy(*group, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(W.partitionBy(*group).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*group, "__bin", earlier.alias("__start"))
+    within = binned.withColumn("__k", F.row_number().over(W.partitionBy(*group, "__bin").orderBy(*order)))
+    return within.join(starts, [*group, "__bin"]).withColumn(out, F.col("__start") + F.col("__k")).drop("__bin", "__start", "__k")
