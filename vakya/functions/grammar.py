@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -75,20 +76,28 @@ TABLE |= {fold(w): ("m", v, "hi") for w, v in HINDI_MULTIPLIERS.items()}
 BY_SOUND = {sound(w): ("n", i, "hi") for i, w in enumerate(HINDI)} | {sound(w): ("n", i, "hi") for w, i in VARIANTS.items()} | {sound(w): ("m", v, "hi") for w, v in HINDI_MULTIPLIERS.items() if w.isascii()}
 
 
+@lru_cache(1 << 17)
+def classed(raw: str) -> tuple:
+    """(marks before, word, marks after, key, prefix, kind, value, language) of a word; words repeat, so most are looked up."""
+    core = raw.strip(MARKS)
+    at = raw.find(core) if core else len(raw)
+    key, prefix = fold(core), ""
+    kind, value, lang = TABLE.get(key) or (BY_SOUND.get(sound(key), ("", 0, "")) if core.isascii() else ("", 0, ""))
+    digits = core.translate(NATIVE_DIGITS)
+    if re.fullmatch(r"[0-9]{1,3}(,[0-9]{2,3})+|[0-9]+", digits):
+        kind, value = "d", digits.replace(",", "")
+    elif glued := re.fullmatch(r"([A-Z]{1,4})-?([0-9]+)", digits):
+        kind, prefix, value = "d", glued[1], glued[2]
+    return raw[:at], core, raw[at + len(core) :], key, prefix, kind, value, lang
+
+
 class Token:
     """A word with its marks; kind is that of TABLE, d (digits), or empty."""
 
+    __slots__ = ("lead", "core", "trail", "key", "prefix", "kind", "value", "lang")
+
     def __init__(self, raw: str) -> None:
-        core = raw.strip(MARKS)
-        at = raw.find(core) if core else len(raw)
-        self.lead, self.core, self.trail = raw[:at], core, raw[at + len(core) :]
-        self.key, self.prefix = fold(core), ""
-        self.kind, self.value, self.lang = TABLE.get(self.key) or (BY_SOUND.get(sound(self.key), ("", 0, "")) if core.isascii() else ("", 0, ""))
-        digits = core.translate(NATIVE_DIGITS)
-        if re.fullmatch(r"[0-9]{1,3}(,[0-9]{2,3})+|[0-9]+", digits):
-            self.kind, self.value = "d", digits.replace(",", "")
-        elif glued := re.fullmatch(r"([A-Z]{1,4})-?([0-9]+)", digits):
-            self.kind, self.prefix, self.value = "d", glued[1], glued[2]
+        self.lead, self.core, self.trail, self.key, self.prefix, self.kind, self.value, self.lang = classed(raw)
 
     @property
     def digit(self) -> bool:
@@ -305,13 +314,16 @@ def written(run: list[Token], before: Token | None, after: Token | None, prefixe
 def pieces(text: str) -> Iterator[str]:
     """Words between single blanks; number words with hyphens come apart."""
     for raw in text.split(" "):
-        parts = raw.split("-")
-        yield from parts if len(parts) > 1 and all(Token(p).kind == "n" for p in parts) else [raw]
+        parts = raw.split("-") if "-" in raw else ()
+        yield from parts if parts and all(Token(p).kind == "n" for p in parts) else [raw]
 
 
 def convert(text: str) -> str:
     """The text with its spoken numbers as digits; all else stays as it is."""
-    tokens = [Token(x) for x in pieces(text)]
+    raw = list(pieces(text))
+    if not any(classed(x)[5] for x in raw):
+        return text
+    tokens = [Token(x) for x in raw]
     hear_eights(tokens)
     out: list[str] = []
     i = 0
@@ -356,6 +368,6 @@ def spoken_to_written(x: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def all_numbers(x: pd.Series) -> pd.Series:
-    """``numbers_in`` of the text with its spoken numbers as digits; null stays null."""
-    return x.map(lambda t: None if t is None else numbers_in(convert(t)))
+def written_numbers(x: pd.Series) -> pd.Series:
+    """``numbers_in`` on a column; null stays null."""
+    return x.map(lambda t: None if t is None else numbers_in(t))

@@ -124,7 +124,7 @@ def style(t: Tables) -> DataFrame:
     tops = ranges.groupBy("r").agg(F.max("conv_id").alias("top"))
     before_range = tops.select("r", F.lag("top").over(W.orderBy("r")).alias("carried"))  # one row for each thousand calls
     within = F.lag("conv_id").over(W.partitionBy("r").orderBy("conv_id"))
-    links = ranges.withColumn("within", within).join(F.broadcast(before_range), "r").select("conv_id", F.coalesce("within", "carried").alias("before"))
+    links = ranges.withColumn("within", within).join(before_range, "r").select("conv_id", F.coalesce("within", "carried").alias("before"))
     wide = calls.join(links.where("before is not null"), "conv_id").join(last.withColumnRenamed("conv_id", "before"), "before")
     distinct = F.size(F.array_distinct("w"))
     return wide.select("conv_id", F.round(F.size(F.array_intersect("w", "b")) / F.greatest(distinct, F.lit(1)), 6).alias("opening_like_last"), F.col("x").rlike("(^|[^a-z])(die|la|the)([^a-z]|$)").alias("banned"), (F.size("w") - distinct).cast("bigint").alias("repeats"))

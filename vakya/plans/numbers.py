@@ -165,7 +165,7 @@ def grammar_texts(t: Tables) -> DataFrame:
     """Whole texts of documents and conversations with their spoken numbers as digits, and how many numbers they then have."""
     texts = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(t.conversations.select(F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text"))
     found = texts.select("id", "text", G.spoken_to_written("text").alias("written"))
-    return found.select("id", F.md5("written").alias("digest"), (F.col("written") != F.col("text")).alias("changed"), F.size(G.all_numbers("written")).alias("numbers"))
+    return found.select("id", F.md5("written").alias("digest"), (F.col("written") != F.col("text")).alias("changed"), F.size(G.written_numbers("written")).alias("numbers"))
 
 
 @query("num_grammar_orders", """
