@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import resolve as R
@@ -16,7 +16,7 @@ MADE = """
     m as (select mention, owner, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) as text from said)"""
 
 
-@query("er_mentions", f"""
+RESOLVED = f"""
     with {MADE},
     pairs as (select mention, m.owner, text, string_split(text, ' ') as w, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[0-9]+$')) as runs, entity, cast(entity as varchar) as id, name, since, count(*) over (partition by mention) as n,
         row_number() over (partition by mention order by since, entity) as place, row_number() over (partition by mention order by since desc, entity) as back from m join e on e.owner = m.owner),
@@ -32,13 +32,25 @@ MADE = """
         union select mention, 5, entity from g where held > 0 and held = widest union select mention, 6, entity from g where hits > 0 and hits = most
         union select mention, 7, entity from g where list_contains(w, case place when 2 then 'second' when 3 then 'third' when 4 then 'fourth' when 5 then 'fifth' else '-' end) union select mention, 8, entity from g where n = 1),
     u as (select mention, rule, min(entity) as entity from r group by 1, 2 having count(*) = 1), b as (select mention, min(rule) as rule, arg_min(entity, rule) as entity from u group by 1)
-    select m.mention, coalesce(list_extract(['exact', 'id', 'block', 'misheard', 'role', 'contains', 'words', 'ordinal', 'only'], rule + 1), 'ask') as rule, entity from m left join b using (mention)""")
+    select m.mention, coalesce(list_extract(['exact', 'id', 'block', 'misheard', 'role', 'contains', 'words', 'ordinal', 'only'], rule + 1), 'ask') as rule, entity from m left join b using (mention)"""
+
+
+@query("er_mentions", RESOLVED)
 def mentions(t: Tables) -> DataFrame:
     """Every order mentioned by its id, its end, its name, a word of it, its place, or an id that was misheard."""
+    orders = owned_orders(t)
+    return R.resolve(orders.select(F.col("entity").alias("mention"), "owner", said_of().alias("text")), orders)
+
+
+def owned_orders(t: Tables) -> DataFrame:
+    """(owner, entity, name, at): orders, named by their first part."""
     lines = t.lineitem.join(t.part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"))
     named = lines.groupBy("l_orderkey").agg(F.min_by("p_name", F.struct("l_linenumber", "p_partkey")).alias("name"))
-    orders = t.orders.join(named, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("entity"), "name", F.col("o_orderdate").alias("at"))
+    return t.orders.join(named, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("entity"), "name", F.col("o_orderdate").alias("at"))
+
+
+def said_of() -> Column:
+    """What is said to mean an order, in one of nine ways."""
     key, name = F.col("entity").cast("string"), R.plain(F.col("name"))
     forms = [F.concat(F.lit("cancel order "), F.lpad(key, 8, "0")), F.concat(F.lit("the one ending in "), F.right(key, F.lit(3))), name, F.concat(F.lit("my "), F.substring_index(name, " ", -1), F.lit(" please")), F.lit("the second one"), F.lit("my latest order"), F.lit("that order"), F.concat(F.lit("where is the "), name, F.lit(" now")), F.concat(F.lit("order "), (F.col("entity") + 10).cast("string"))]
-    text = F.element_at(F.array(*forms), (F.col("entity") % 9 + 1).cast("int"))
-    return R.resolve(orders.select(F.col("entity").alias("mention"), "owner", text.alias("text")), orders)
+    return F.element_at(F.array(*forms), (F.col("entity") % 9 + 1).cast("int"))

@@ -43,7 +43,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 
 def load() -> None:
     """Imports all modules of queries."""
-    from . import aggregates, checks, files, functions, joins, lexicons, mentions, more, numbers, records, resolve, sampling, script, similar, streams, texts, whole, windows  # noqa: F401
+    from . import aggregates, checks, files, functions, joins, lexicons, mentions, more, numbers, records, resolve, sampling, script, similar, streams, texts, values, whole, windows  # noqa: F401
 
 
 load()
