@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import aloud as A
 from ..functions import grammar as G
 from ..functions import spoken as N
-from .registry import Tables, query
+from .registry import Tables, count_n, query
 
 ALL = " ".join(N.SMALL)
 TENS = " ".join(N.TENS)
@@ -176,3 +177,26 @@ def grammar_orders(t: Tables) -> DataFrame:
     rows = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), phone.alias("phone")), "o_custkey")
     said = F.concat(F.lit("Rs "), N.cardinal(F.floor("o_totalprice")), F.lit(" rupees for order ID EC "), N.digit_words(F.lpad(F.col("o_orderkey").cast("string"), 6, "0")), F.lit(", call "), N.digit_words(F.col("phone")), F.lit(" now"))
     return rows.select("o_orderkey", G.spoken_to_written(said).alias("written"))
+
+
+@query("num_said_tokens")
+def said_tokens(t: Tables) -> DataFrame:
+    """Tokens of all documents that are said otherwise than written (mails, phones, numbers, identifiers, capitals, months), in two scripts, counted."""
+    return A.groups(t.documents, "doc_id", "text").groupBy("written", "latin", "devanagari").agg(count_n())
+
+
+def sql_said(words: str, form: int) -> str:
+    """DuckDB SQL of canonical words in one of the two scripts."""
+    return f"array_to_string(list_transform(string_split({words}, ' '), lambda w: map {{{', '.join(f"'{k}': '{v[form]}'" for k, v in A.SAID.items())}}}[w]), ' ')"
+
+
+@query("num_said_orders", f"""
+    with w as (select o_orderkey, {sql_cardinal(PRICE)} || ' rupaye' as a, {sql_under('cast(day(o_orderdate) as bigint)')} || ' ' || lower(strftime(o_orderdate, '%B')) || ' nineteen ' || {sql_under('cast(year(o_orderdate) % 100 as bigint)')} as b, 'E C ' || {sql_digits("lpad(cast(o_orderkey as varchar), 6, '0')")} as c, {sql_under('(o_orderkey % 12 + 1)')} || case o_orderkey % 60 when 0 then '' else case when o_orderkey % 60 < 10 then ' oh' else '' end || ' ' || {sql_under('(o_orderkey % 60)')} end || ' P M' as d from orders where year(o_orderdate) < 2000),
+    x as (select o_orderkey, a || ' ' || b || ' ' || c || ' ' || d as words from w) select o_orderkey, {sql_said('words', 1)} as latin, {sql_said('words', 0)} as devanagari from x""")
+def said_orders(t: Tables) -> DataFrame:
+    """Notices of orders before 2000 as they are said in two scripts: amount, date, identifier and time, put together from their tokens."""
+    key = F.col("o_orderkey")
+    written = F.format_string("pay Rs %d, by %s for EC-%s at %d:%02dpm.", F.floor("o_totalprice").cast("bigint"), F.date_format("o_orderdate", "d/M/yyyy"), F.lpad(key.cast("string"), 6, "0"), key % 12 + 1, key % 60)
+    rows = t.orders.where(F.year("o_orderdate") < 2000).select("o_orderkey", written.alias("written"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c]), " ")
+    return A.groups(rows, "o_orderkey", "written").groupBy("o_orderkey").agg(joined("latin").alias("latin"), joined("devanagari").alias("devanagari"))
