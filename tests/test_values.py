@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from vakya.functions import text as X
 from vakya.functions import values as V
 from vakya.operators.calls import resolve_calls
 from vakya.operators.provenance import MIXED, NUMBER, number_sources
@@ -102,3 +103,15 @@ def test_resolve_calls(spark):
     assert got[6].reasons == ["unknown tool"]
     assert got[7].reasons == ["address:ask", "mail:malformed"]
     assert resolve_calls(df.limit(0), spec, entities, homes).count() == 0
+
+
+def test_runs_of_sorted_values(spark):
+    rows = [(["a", "a", "b"], 2, 2), (["a", "b", "b", "b"], 3, 2), (["a"], 1, 1), ([], 0, 0), (["a", "b", "c"], 1, 3)]
+    got = spark.createDataFrame(rows, "v array<string>, most int, different int").select("most", "different", X.runs("v").alias("r")).collect()
+    assert all((r.r.most, r.r.different) == (r.most, r.different) for r in got)
+
+
+def test_letters_said_one_by_one_are_joined(spark):
+    cases = {"E C 0 4, please": "ec04 please", "a bc d e": "a bc de", "": "", "x": "x", "ab cd": "ab cd", "1 2 34 5 6": "12 34 56"}
+    rows = spark.createDataFrame(list(cases.items()), "x string, want string").select("want", X.spelled_joined(F.col("x")).alias("got")).collect()
+    assert all(r.got == r.want for r in rows)

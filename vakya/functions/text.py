@@ -112,3 +112,18 @@ def spells(tokens: Column, fact: Column) -> Column:
 def cer(hyp: Column, ref: Column) -> Column:
     """Edit distance over the length of the reference; for an empty one 0 if both are empty, else 1."""
     return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.try_divide(F.levenshtein(hyp, ref), F.length(ref)))
+
+
+def runs(values: str) -> Column:
+    """(most, different) of a sorted array: the length of its longest run of equal values, and the number of runs; 0 if it is empty."""
+    places = F.filter(F.transform(F.col(values), lambda x, i: F.when((i == 0) | (x != F.get(F.col(values), i - 1)), i)), lambda i: i.isNotNull())
+    step = lambda s, i: F.struct(F.greatest(s["most"], i - s["at"]).alias("most"), i.alias("at"), (s["n"] + 1).alias("n"))
+    start = F.struct(F.lit(0).alias("most"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+    done = lambda s: F.struct(F.greatest(s["most"], F.size(values) - s["at"]).cast("bigint").alias("most"), s["n"].cast("bigint").alias("different"))
+    return F.aggregate(places, start, step, done)
+
+
+def spelled_joined(x: Column) -> Column:
+    """Plain words with runs of single letters or digits as one word: ``e c 0 4 please`` is ``ec04 please``."""
+    words = F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+    return F.regexp_replace(words, "(?<=(?<![a-z0-9])[a-z0-9]) (?=[a-z0-9](?![a-z0-9]))", "")

@@ -89,6 +89,18 @@ def normal_forms(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.md5(F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))).alias("raw"), F.md5(F.regexp_replace(folded, "[^a-z0-9]", "")).alias("joined"), F.md5(F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))).alias("scored"))
 
 
+@query("sc_spelled_joined", f"""
+    with w as (select doc_id, list_filter(string_split(regexp_replace({FOLDED.format('lower(text)')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents),
+    p as (select doc_id, unnest(w) as x, unnest(range(len(w))) as i, unnest(list_concat([''], w)[1:len(w)]) as b from w), g as (select *, sum(case when i > 0 and length(x) = 1 and length(b) = 1 then 0 else 1 end) over (partition by doc_id order by i) as word from p), j as (select doc_id, word, string_agg(x, '' order by i) as x from g group by 1, 2)
+    select doc_id, count(*) as words, count(*) filter (where length(x) > 1) as longer, md5(string_agg(x, ' ' order by word)) as joined from j group by 1""")
+def spelled_joined(t: Tables) -> DataFrame:
+    """The normal form that joins letters said one by one, of whole documents: its words, those of two characters on, and its digest."""
+    joined = X.spelled_joined(F.translate(F.lower("text"), *FOLD))
+    words = F.split("joined", " ")
+    rows = t.documents.select("doc_id", joined.alias("joined")).where("joined <> ''")
+    return rows.select("doc_id", F.size(words).cast("bigint").alias("words"), F.size(F.filter(words, lambda w: F.length(w) > 1)).cast("bigint").alias("longer"), F.md5("joined").alias("joined"))
+
+
 @query("sc_cleaned", r"""
     select conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), '[ \n]+', ' ', 'g'))) as clean from conversations""")
 def cleaned(t: Tables) -> DataFrame:
