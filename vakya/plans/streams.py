@@ -275,9 +275,11 @@ def answers(t: Tables) -> DataFrame:
     with e as (select event_id, user_id, json_extract_string(props, '$.k') as k, ts, event_type from events), j as (select p.ts, (epoch_us(q.ts) - epoch_us(p.ts)) / 1000000.0 as lag from e p left join e q on q.event_type = 'view' and p.k = q.k and q.ts >= p.ts and q.ts <= p.ts + interval 6 hours where p.event_type = 'click')
     select date_trunc('day', ts) as start, count(lag) as answered, count(*) filter (where lag is null) as lost, round(quantile_cont(lag, 0.5), 6) as p50, round(quantile_cont(lag, 0.95), 6) as p95 from j group by 1""")
 def answer_report(t: Tables) -> DataFrame:
-    """Answers by frame number alone within six hours, by day: a hundred ids share all rows, so the bins of time deal them out."""
-    pairs = C.answered(*sides(t, "click", "view"), ["k"], "ts", "6 hours", "1 hour")
-    return C.lag_report(pairs.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Answers by frame number alone within six hours, by day: a hundred ids share all rows, so the bins of time deal them out; rows of the same frame and time are joined once, and no lag is kept."""
+    asked, given = (side.groupBy("k", "ts").agg(count_n()) for side in sides(t, "click", "view"))
+    pairs = C.answered(asked.withColumnRenamed("n", "asks"), given, ["k"], "ts", "6 hours", "1 hour", carried=("n",))
+    weighed = pairs.select(F.col("ts").cast("timestamp").alias("ts"), "lag_s", (F.col("asks") * F.coalesce("n", F.lit(1))).alias("times"))
+    return C.lag_report(weighed, "ts", "1 day", "times").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("str_frame_delivery", """
