@@ -46,3 +46,27 @@ def test_lag_report_keeps_no_lags(spark):
     assert got == [(1, 15, 0, 0.0, 3600.0), (2, 0, 1, None, None)]
     pairs = C.answered(*streams.sides(Made(events=events), "click", "view"), ["k"], "ts", "6 hours", "1 hour")
     assert "percentile(" not in plan(C.lag_report(pairs, "ts", "1 day"))
+
+
+def overlaps(parts):
+    words = {k: (b, Counter(x.lower().split())) for k, b, x in parts}
+    want = set()
+    for k, (b, w) in words.items():
+        scores = defaultdict(list)
+        for o, (c, v) in words.items():
+            if o != k and b == c and (n := sum(w[x] * v[x] for x in w)):
+                scores[n].append(o)
+        if scores and len(scores[max(scores)]) == 1:
+            want.add((k, scores[max(scores)][0], max(scores)))
+    return want
+
+
+def test_unique_overlap(spark):
+    rng = random.Random(3)
+    named = lambda parts: Made(part=spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string"))
+    parts = [(i, f"B{rng.randint(1, 12)}", " ".join(rng.choice("red blue old ring bolt".split()) for _ in range(rng.randint(1, 3)))) for i in range(90)]
+    want = overlaps(parts)
+    assert len(want) > 5 and {tuple(r) for r in more.unique_overlap(named(parts)).collect()} == want
+    # 40,000 copies are one class; all their pairs would be 1.6 billion.
+    copies = [(i, "B1", "old ring") for i in range(40000)] + [(-1, "B1", "old bolt ring ring"), (-2, "B1", "cold plate"), (-3, "B1", "plate")]
+    assert {tuple(r) for r in more.unique_overlap(named(copies)).collect()} == {(i, -1, 3) for i in range(40000)} | {(-2, -3, 1), (-3, -2, 1)}
