@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from vakya.operators import aggregates as A
-from vakya.plans import more, streams
+from vakya.plans import aggregates, more, records, script, streams
 from vakya.streaming import correlate as C
 
 
@@ -70,3 +70,28 @@ def test_unique_overlap(spark):
     # 40,000 copies are one class; all their pairs would be 1.6 billion.
     copies = [(i, "B1", "old ring") for i in range(40000)] + [(-1, "B1", "old bolt ring ring"), (-2, "B1", "cold plate"), (-3, "B1", "plate")]
     assert {tuple(r) for r in more.unique_overlap(named(copies)).collect()} == {(i, -1, 3) for i in range(40000)} | {(-2, -3, 1), (-3, -2, 1)}
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_latency_legs_hold_no_group(spark):
+    rows = [(i, "FO"[i % 2], float(i % 7), 1000.0 * (i % 11)) for i in range(101)]
+    orders = spark.createDataFrame([r[:2] for r in rows], "o_orderkey long, o_orderstatus string")
+    lines = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "l_orderkey long, l_quantity double, l_extendedprice double")
+    found = aggregates.latency_legs(Made(orders=orders, lineitem=lines))
+    assert "percentile(" not in plan(found)
+    for r in found.collect():
+        a, b = (np.array([x[i] for x in rows if x[1] == r.o_orderstatus]) for i in (2, 3))
+        assert (r.first_leg, r.second_leg) == (np.median(a), np.median(b / 1000)) and r.residual == pytest.approx(np.median(a + b / 1000) - np.median(a) - np.median(b / 1000))
+
+
+def turns(spark, texts):
+    return Made(conversations=spark.createDataFrame([(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+
+
+def test_map_stays_in_its_row(spark):
+    found = script.map_verified(turns(spark, ["a b\nc\té😀", "", None, " "]))
+    assert shuffles(found) == 0
+    assert [tuple(r) for r in found.collect()] == [(0, 0, True, 8, 2), (3, 0, True, 1, 1)]

@@ -262,8 +262,10 @@ def batch_means(t: Tables) -> DataFrame:
 def latency_legs(t: Tables) -> DataFrame:
     """Medians of the legs, and what they leave of the median of the whole."""
     rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderstatus", F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
-    m = lambda c: F.expr(f"percentile({c}, 0.5d)")
-    return rows.groupBy("o_orderstatus").agg(F.round(m("a"), 6).alias("first_leg"), F.round(m("b"), 6).alias("second_leg"), F.round(m("a + b") - m("a") - m("b"), 6).alias("residual"))
+    legs = F.array(*[F.struct(F.lit(name).alias("leg"), v.alias("v")) for name, v in (("a", F.col("a")), ("b", F.col("b")), ("whole", F.col("a") + F.col("b")))])
+    middle = A.percentiles(rows.select("o_orderstatus", F.explode(legs).alias("l")).select("o_orderstatus", "l.*"), ["o_orderstatus", "leg"], "v", {"m": 0.5}, 0.01)
+    m = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("m")))
+    return middle.groupBy("o_orderstatus").agg(F.round(m("a"), 6).alias("first_leg"), F.round(m("b"), 6).alias("second_leg"), F.round(m("whole") - m("a") - m("b"), 6).alias("residual"))
 
 
 @query("ag_composite_score", """
