@@ -186,10 +186,12 @@ def chunk_scores(t: Tables) -> DataFrame:
 @query("ma_map_verified", "select conv_id, turn, true as equal, cast(length(text) as bigint) as units, cast(length(regexp_replace(text, '[^ \\n]', '', 'g')) as bigint) as gaps from conversations where length(text) > 0")
 def map_verified(t: Tables) -> DataFrame:
     """A map of units with operations, put together again: it must give the text, and its counts must agree."""
-    units = t.conversations.select("conv_id", "turn", "text", F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("i", "unit"))
-    op = F.when(F.col("unit").rlike("^[ \\n]$"), "gap").otherwise("keep")
-    listed = units.withColumn("op", op).groupBy("conv_id", "turn").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct("i", "unit"))).alias("u"), count_n().alias("units"), F.count_if(F.col("op") == "gap").alias("gaps"))
-    return listed.select("conv_id", "turn", (F.array_join(F.transform("u", lambda x: x["unit"]), "") == F.col("text")).alias("equal"), "units", "gaps")
+    units = F.filter(F.split("text", ""), lambda x: x != "")
+    mapped = F.transform(units, lambda x: F.struct(x.alias("unit"), F.when(x.rlike("^[ \\n]$"), "gap").otherwise("keep").alias("op")))
+    listed = t.conversations.where(F.length("text") > 0).select("conv_id", "turn", "text", mapped.alias("u"))
+    # The map is of one row, so nothing is dealt out by row and put together again.
+    count = lambda c: F.size(c).cast("bigint")
+    return listed.select("conv_id", "turn", (F.array_join("u.unit", "") == F.col("text")).alias("equal"), count("u").alias("units"), count(F.filter("u.op", lambda x: x == "gap")).alias("gaps"))
 
 
 @query("ag_edit_shares")
