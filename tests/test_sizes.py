@@ -95,3 +95,18 @@ def test_map_stays_in_its_row(spark):
     found = script.map_verified(turns(spark, ["a b\nc\té😀", "", None, " "]))
     assert shuffles(found) == 0
     assert [tuple(r) for r in found.collect()] == [(0, 0, True, 8, 2), (3, 0, True, 1, 1)]
+
+
+def test_two_nearest_stay_in_their_row(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("die der x y z w the of".split()) for _ in range(rng.randint(1, 14))) for _ in range(60)] + ["", None, "the", "word"]
+    found = records.two_nearest_labelled(turns(spark, texts))
+    assert shuffles(found) == 0
+    want = set()
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        votes = [(j, 1 if x in ("die", "der") else -1) for j, x in enumerate(w) if x in ("die", "der", "the", "of")]
+        free = [sum([v for k, v in votes if k < j][-2:] + [v for k, v in votes if k > j][:2]) for j, x in enumerate(w) if j not in dict(votes)]
+        if free:
+            want.add((i, 0, sum(v > 0 for v in free), sum(v < 0 for v in free)))
+    assert {tuple(r) for r in found.collect()} == want

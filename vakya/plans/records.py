@@ -210,15 +210,15 @@ def phrases_to_four(t: Tables) -> DataFrame:
     select conv_id, turn, count(*) filter (where v > 0) as to_h, count(*) filter (where v < 0) as to_e from v group by 1, 2""")
 def two_nearest_labelled(t: Tables) -> DataFrame:
     """Tokens without a label go with the two nearest labelled tokens on each side, however far they stand."""
-    words = t.conversations.select("conv_id", "turn", F.posexplode(X.alnum_tokens(F.col("text"))).alias("i", "word"))
-    labelled = words.withColumn("vote", F.when(F.col("word").isin("die", "der", "und", "les", "la"), 1).when(F.col("word").isin("the", "of", "to", "and", "in"), -1))
-    # The running number of labelled tokens numbers them; a token without a label lies between two of them.
-    seen = F.count("vote").over(W.partitionBy("conv_id", "turn").orderBy("i"))
-    numbered = labelled.withColumn("p", seen)
-    votes = numbered.where("vote is not null").select("conv_id", "turn", "p", "vote")
-    asked = numbered.where("vote is null").select("conv_id", "turn", "i", F.explode(F.array(*[F.col("p") + k for k in (-1, 0, 1, 2)])).alias("p"))
-    found = asked.join(votes, ["conv_id", "turn", "p"], "left").groupBy("conv_id", "turn", "i").agg(F.sum("vote").alias("v"))
-    return found.groupBy("conv_id", "turn").agg(F.count_if(F.col("v") > 0).alias("to_h"), F.count_if(F.col("v") < 0).alias("to_e"))
+    label = lambda x: F.when(x.isin("die", "der", "und", "les", "la"), "h").when(x.isin("the", "of", "to", "and", "in"), "e").otherwise(".")
+    marks = t.conversations.select("conv_id", "turn", F.array_join(F.transform(X.alnum_tokens(F.col("text")), label), "").alias("marks")).where("contains(marks, '.')")
+    # A row's labels in their order, and how many tokens without one stand before each and after the last; those between two labels have the same neighbours.
+    gaps = marks.select("conv_id", "turn", F.translate("marks", ".", "").alias("labels"), F.transform(F.split("marks", "[he]", -1), F.length).alias("gaps"))
+    near = lambda c: F.substring("labels", F.greatest(c - 1, F.lit(1)), F.when(c == 0, 2).when(c == 1, 3).otherwise(4))
+    vote = lambda x: 2 * F.length(F.translate(x, "e", "")) - F.length(x)
+    votes = gaps.select("conv_id", "turn", F.transform("gaps", lambda n, c: F.struct(n.alias("n"), vote(near(c)).alias("v"))).alias("g"))
+    total = lambda way: F.aggregate(F.filter("g", way), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    return votes.select("conv_id", "turn", total(lambda x: x["v"] > 0).alias("to_h"), total(lambda x: x["v"] < 0).alias("to_e"))
 
 
 @query("tx_masked_spans", r"""
