@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from vakya.operators import aggregates as A
+from vakya.operators import resolve as R
 from vakya.plans import aggregates, more, records, script, streams
 from vakya.streaming import correlate as C
 
@@ -110,3 +111,11 @@ def test_two_nearest_stay_in_their_row(spark):
         if free:
             want.add((i, 0, sum(v > 0 for v in free), sum(v < 0 for v in free)))
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_resolve_reads_its_sides_once(spark):
+    entities = spark.createDataFrame([(1, 5, "red ring", 1), (1, 6, "old bolt", 2), (2, 7, "red ring", 1)], "owner long, entity long, name string, at long")
+    mentions = spark.createDataFrame([("a", 1, "the bolt"), ("b", 1, "my latest order"), ("c", 2, None)], "mention string, owner long, text string")
+    found = R.resolve(mentions, entities)
+    assert "LogicalRDD" not in plan(found)  # what they are made from is not made again for each rule
+    assert {tuple(r) for r in found.collect()} == {("a", "words", 6), ("b", "role", 6), ("c", "only", 7)}

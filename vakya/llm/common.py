@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import clean, forget, remove, shared_dir, tables_dir, written  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -24,53 +24,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset and all runs on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="vakya-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def tables_dir(spark: SparkSession) -> str:
-    """Where this application keeps its intermediate tables."""
-    return f"{shared_dir(spark)}/vakya-{spark.conf.get('spark.app.id', 'app')}"
-
-
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage and survives lost executors.
-
-    The table stays as long as results may need it: ``forget`` removes one, ``clean`` those of the application.
-    """
-    spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.written_path = path
-    return found
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def forget(df: DataFrame) -> None:
-    """Removes a table of ``written`` that nothing reads any more."""
-    remove(df.sparkSession, df.written_path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Removes all intermediate tables of the application, once its results are stored."""
-    remove(spark, tables_dir(spark))
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows and bytes of an Arrow batch, as a text can be very long; a setting of the session, read when a query runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.tables import written
 from .resolve import resolve
 
 
@@ -24,6 +25,7 @@ def resolve_calls(calls: DataFrame, spec: list[tuple[str, str, str]], entities:
     kinds = spark.createDataFrame(spec, "tool string, arg string, kind string")
     listed = kinds.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("arg", "kind"))).alias("spec"))
     wide = calls.select("call", "owner", "tool", F.coalesce("args", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("args")).join(F.broadcast(listed), "tool", "left")
+    wide = written(wide)  # what was said is read by each kind, and by each rule for references
     rows = wide.select("call", "owner", F.explode("spec").alias("s"), "args").select("call", "owner", "s.arg", "s.kind", F.try_element_at("args", F.col("s.arg")).alias("said"))
 
     mentions = rows.where("kind = 'reference'").select(F.struct("call", "arg").alias("mention"), "owner", F.col("said").alias("text"))
