@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -119,3 +120,11 @@ def test_resolve_reads_its_sides_once(spark):
     found = R.resolve(mentions, entities)
     assert "LogicalRDD" not in plan(found)  # what they are made from is not made again for each rule
     assert {tuple(r) for r in found.collect()} == {("a", "words", 6), ("b", "role", 6), ("c", "only", 7)}
+
+
+def test_gate_rounds_as_sql(spark):
+    # A number whose digits end in a half at the seventh place, but which is less than that in millionths.
+    v = next(x for x in ((20000000 + 10 * k + 5) / 1e7 for k in range(10000)) if (x * 1e6) % 1 < 0.5)
+    frames = spark.createDataFrame([(1, i, f"2024-01-01 00:00:0{i}", v) for i in range(5)], "user_id long, event_id long, ts string, value double").selectExpr("user_id", "event_id", "cast(ts as timestamp_ntz) as ts", "value")
+    last = {r.event_id: r for r in streams.gate_frames(Made(events=frames)).collect()}[4]
+    assert last.noise == duckdb.sql(f"select round({v!r}::double, 6)").fetchall()[0][0]

@@ -249,7 +249,9 @@ def slot_claims(t: Tables) -> DataFrame:
 def gate_frames(t: Tables) -> DataFrame:
     """The gate of each frame, from the order statistic that the machine keeps of the last twenty frames."""
     f = gate_gain(t)
-    return f.select(F.col("id").alias("event_id"), F.round("noise", 6).alias("noise"), F.round("opening", 6).alias("opening"), "open")
+    # Rounded as numbers, as SQL does: by its written digits, a number just below a half would go up.
+    rounded = lambda c: (F.round(F.col(c) * 1000000.0) / 1000000.0).alias(c)
+    return f.select(F.col("id").alias("event_id"), rounded("noise"), rounded("opening"), "open")
 
 
 @query("str_gate_gain")
