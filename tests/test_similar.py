@@ -66,6 +66,17 @@ def test_one_token_that_all_have(spark, monkeypatch):
     assert most(1) < 30 and S._level([tokens], least, 2) > 1 and most(S._level([tokens], least, 2)) < most(1)
 
 
+def test_both_sides_have_one_order(spark):
+    texts, others = ["ringbolt", "xqzwvuk", "ringbold"], ["ringbolts", "oldring"]
+    tokens = S._placed([frame(spark, x).select("text", F.length("text").alias("n")) for x in (texts, others)], 2)
+    here, there = ([tuple(r) for r in t.select("text", "token", "place").collect()] for t in tokens)
+    # What the other side doesn't have comes first and makes no key, and shared tokens have the same order on both sides.
+    assert {x for x, _, _ in here} == {"ringbolt", "ringbold"} and max(p for x, _, p in here if x == "ringbold") == 7
+    order = lambda rows, text: [k for _, k in sorted((p, k) for x, k, p in rows if x == text)]
+    common = set(order(here, "ringbolt"))
+    assert order(here, "ringbolt") == [k for k in order(there, "ringbolts") if k in common]
+
+
 def test_queries_equal_all_pairs(spark):
     rows = lambda name: [tuple(r) for r in QUERIES[name](spark, SF).collect()]
     parts = spark.read.parquet(f"{SF}/part.parquet").collect()

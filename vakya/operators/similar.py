@@ -3,7 +3,7 @@
 If a share t of S characters is matched (S of both texts), at most (1 - t) * S are not, so the match has at most
 (1 - t) * S + 1 blocks, and a block of k characters has k - 1 pairs of neighbours. Two texts with a ratio of at least t
 thus share (1.5 * t - 1) * S - 1 pairs of neighbouring characters or more, repeats counted. This bound makes a prefix
-filter exact: of the pairs of a text, ordered from the rarest, only the first need be looked at. Where one shared pair
+filter exact: of the pairs of a text, in one order for both sides, only the first need be looked at. Where one shared pair
 isn't enough to keep the groups small, two or three shared pairs make up a key. Texts so short that the bound says
 nothing are joined on single characters in the same way. Equal texts are one text.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Most rows that may share a key before keys of one token more are taken.
 CROWD = 2000
 LEVELS = (1, 2, 3)
@@ -47,15 +49,26 @@ def ratio_from(percent: int):  # noqa: ANN201
     return ratio
 
 
-def _tokens(texts: DataFrame, size: int) -> DataFrame:
-    """(text, n, token): all runs of ``size`` characters, the k-th equal one of a text as a token of its own, in the order from the rarest (``place`` from 1)."""
+def _runs(texts: DataFrame, size: int) -> DataFrame:
+    """(text, n, token): all runs of ``size`` characters, the k-th equal one of a text as a token of its own."""
     at = F.explode(F.sequence(F.lit(1), F.col("n") - size + 1))
     grams = texts.where(F.col("n") >= size).select("text", "n", at.alias("i")).select("text", "n", F.substring("text", F.col("i"), F.lit(size)).alias("gram"))
     counted = grams.groupBy("text", "n", "gram").count()
-    tokens = counted.select("text", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda k: F.concat(F.col("gram"), k.cast("string")))).alias("token"))
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    order = W.partitionBy("text").orderBy("df", "token")
-    return tokens.join(rare, "token").withColumn("place", F.row_number().over(order)).select("text", "n", "token", "place")
+    return counted.select("text", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("count").cast("int")), lambda k: F.concat(F.col("gram"), k.cast("string")))).alias("token"))
+
+
+def _placed(sides: list[DataFrame], size: int) -> list[DataFrame]:
+    """For each side the tokens that the last side has, with their ``place`` (from 1) in one order for both: from the rarest of the last side, tokens that it doesn't have being the first."""
+    found = [_runs(s, size) for s in sides]
+    rare = found[-1].groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    per = W.partitionBy("text", "n")
+    place = F.col("n") - size + 1 - F.count(F.lit(1)).over(per) + F.row_number().over(per.orderBy("df", "token"))
+    return [t.join(rare, "token").withColumn("place", place).select("text", "n", "token", "place") for t in found]
+
+
+def _tokens(texts: DataFrame, size: int) -> DataFrame:
+    """(text, n, token, place) of texts among themselves."""
+    return _placed([texts], size)[0]
 
 
 def _keys(tokens: DataFrame, least: Column, size: int, level: int) -> DataFrame:
@@ -86,13 +99,14 @@ def candidates(texts: DataFrame, others: DataFrame | None, percent: int) -> Data
     if percent < 70:
         raise ValueError("below 70 percent the bound says nothing")
     prepare = lambda df: df.where(F.length("text") > 0).select("text", F.length("text").alias("n")).distinct()
-    sides = [prepare(texts)] if others is None else [prepare(texts), prepare(others)]
+    # Texts and tokens are stored, as the level is found by counts of keys before the pairs are.
+    sides = [written(prepare(s)) for s in ([texts] if others is None else [texts, others])]
     small = 300 // (3 * percent - 200) + 1  # two texts of so many characters together needn't share a pair
     found = []
     # Short texts: shared characters, of which there are percent * S / 200 at least.
-    short = [_tokens(s.where(F.col("n") < small), 1) for s in sides]
+    short = _placed([s.where(F.col("n") < small) for s in sides], 1)
     found.append(_paired([_keys(t, F.ceil((F.col("n") + least_partner(F.col("n"), percent)) * percent / 200), 1, 1) for t in short], F.col("n") + F.col("m") <= small))
-    tokens = [_tokens(s, 2) for s in sides]
+    tokens = [written(t) for t in _placed(sides, 2)]
     least = shared_pairs(F.col("n") + least_partner(F.col("n"), percent), percent)
     level = _level(tokens, least, 2)
     for k in range(1, level + 1):
