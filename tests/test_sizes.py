@@ -9,7 +9,7 @@ import pytest
 
 from vakya.operators import aggregates as A
 from vakya.operators import resolve as R
-from vakya.plans import aggregates, more, records, script, streams
+from vakya.plans import aggregates, more, records, script, streams, whole
 from vakya.streaming import correlate as C
 
 
@@ -141,3 +141,12 @@ def test_gate_rounds_as_sql(spark):
     frames = spark.createDataFrame([(1, i, f"2024-01-01 00:00:0{i}", v) for i in range(5)], "user_id long, event_id long, ts string, value double").selectExpr("user_id", "event_id", "cast(ts as timestamp_ntz) as ts", "value")
     last = {r.event_id: r for r in streams.gate_frames(Made(events=frames)).collect()}[4]
     assert last.noise == duckdb.sql(f"select round({v!r}::double, 6)").fetchall()[0][0]
+
+
+def test_only_texts_of_pairs_are_split_again(spark):
+    gold = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "a b " + gold + " c"), (2, "w0 w1 w2 w3 w4 w5 w6 x"), (3, None), (4, gold), (5, "w1")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, gold), (8, "short")], "item_id long, text string")
+    found = whole.passage_spans(Made(documents=docs, benchmark=items))
+    assert "Generate" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(1, 7, 1.0, 2, 14), (4, 7, 1.0, 0, 12)}

@@ -10,9 +10,13 @@ from ..functions import distance as D
 from ..functions import spans as P
 from ..functions import text as X
 from ..operators import windows as O
+from ..sources.tables import written
 from .registry import Tables, count_n, query
 from .texts import noise_protected
 
+#: Most hashes of passages that are sent to each task; beyond it both sides are shuffled.
+BROADCAST = 500_000
+
 
 @query("ma_chunk_report")
 def chunk_report(t: Tables) -> DataFrame:
@@ -34,10 +38,20 @@ def chunk_report(t: Tables) -> DataFrame:
 def passage_spans(t: Tables) -> DataFrame:
     """Documents that share eight words in a row with a passage, and the span of the whole document that is most like the whole passage."""
     tokens = lambda df, key: df.select(key, X.alnum_tokens(F.col("text")).alias("w"))
-    keys = lambda df, key: df.select(key, F.explode(F.array_distinct(X.ngrams(F.col("w"), 8))).alias("g"))
-    docs, items = tokens(t.documents, "doc_id"), tokens(t.benchmark, "item_id")
-    pairs = keys(docs, "doc_id").join(keys(items, "item_id"), "g").select("doc_id", "item_id").distinct()
-    found = pairs.join(docs, "doc_id").join(items.withColumnRenamed("w", "gold"), "item_id").select("doc_id", "item_id", P.best_spans("w", "gold").alias("s"))
+    # An array of one row binds the words, which would else be made again for each place.
+    runs = lambda w: F.when(F.size(w) >= 8, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(8)))))
+    keys = lambda df, key: df.select(key, F.explode(F.get(F.transform(F.array(X.alnum_tokens(F.col("text"))), runs), F.lit(0))).alias("g"))
+    items = tokens(t.benchmark, "item_id")
+    passages = written(keys(t.benchmark, "item_id").distinct())
+    if passages.limit(BROADCAST + 1).count() <= BROADCAST:
+        passages = F.broadcast(passages)
+    pairs = keys(t.documents, "doc_id").join(passages, "g").select("doc_id", "item_id").distinct()
+    # Stored, so that only the texts of pairs are split again.
+    texts = written(t.documents.select("doc_id", "text").join(pairs, "doc_id"))
+    both = texts.select("doc_id", "item_id", X.alnum_tokens(F.col("text")).alias("w")).join(items.withColumnRenamed("w", "gold"), "item_id")
+    # Hashes only choose the pairs.
+    shared = both.where(F.arrays_overlap(X.ngrams(F.col("w"), 8), X.ngrams(F.col("gold"), 8)))
+    found = shared.select("doc_id", "item_id", P.best_spans("w", "gold").alias("s"))
     return found.select("doc_id", "item_id", F.round("s.f1", 6).alias("f1"), "s.start", "s.stop")
 
 
