@@ -54,3 +54,13 @@ def test_every_word_has_both_forms(spark):
     for made, df in ((N.under_hundred(F.col("id")), n), (N.ordinal(F.col("id")), n), (N.year(F.col("id") + 1950), n), (N.cardinal(F.col("id") * 98765431), n)):
         words = {w for r in df.select(made.alias("w")).collect() for w in r.w.split(" ")}
         assert words <= A.SAID.keys()
+
+
+def test_a_notice_is_one_row(spark):
+    """The groups of a notice are joined within its row: nothing is shuffled. Letters without a form are left out."""
+    from vakya.plans.registry import QUERIES
+
+    df = QUERIES["num_said_orders"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    odd = spark.createDataFrame([(1, "UPI\u0085 5. ")], "k int, t string")
+    assert [(r.written, r.latin) for r in A.groups(odd, "k", "t").orderBy("place").collect()] == [("UPI\u0085", "yu pi aai"), ("5 ", "faiv")]

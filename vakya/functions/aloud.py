@@ -3,8 +3,13 @@ numbers, phones, plates and identifiers, mail addresses, spelled capitals and mo
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import spoken as N
 
@@ -63,11 +68,8 @@ def _amount(core: Column, bare: Column) -> Column:
 
 def _month_of(x: Column) -> Column:
     """The month that a word or its short form (sept too) names, else null."""
-    low = F.regexp_replace(F.lower(x), "[.]$", "")
-    full = F.when(low == "sept", "september")
-    for m in MONTHS:
-        full = full.when(low.isin(m, m[:3]), m)
-    return full
+    table = F.create_map(*[F.lit(y) for m in MONTHS for k in dict.fromkeys((m, m[:3])) for y in (k, m)], F.lit("sept"), F.lit("september"))
+    return F.try_element_at(table, F.regexp_replace(F.lower(x), "[.]$", ""))
 
 
 def spoken_items(before: Column, core: Column, after: Column) -> Column:
@@ -85,51 +87,119 @@ def spoken_items(before: Column, core: Column, after: Column) -> Column:
     whole, fraction = F.split_part(F.replace(core, F.lit(","), F.lit("")), F.lit("."), F.lit(1)), F.split_part(core, F.lit("."), F.lit(2))
     id_run = lambda r: F.when(r.rlike("^([0-9]|[1-9][0-9])$"), _item("n", r)).when(r.rlike("^[0-9]"), _item("d", r)).when(r.rlike("^[A-Za-z]"), _item("l", F.upper(r))).otherwise(_item(RAW, r))
     mail_run = lambda r: F.when(r == "@", "wat").when(r == ".", "wdot").when(r.rlike("^[0-9]"), _number(r)).otherwise(_item(RAW, r))
-    said = (
-        F.when(_is(core, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+"), F.transform(runs("[A-Za-z]+|[0-9]+|[@.]"), mail_run))
-        .when(_is(core, attached), _amount(part(f"^{attached}$", 1), in_rupees))
-        .when(_is(core, CURRENCY) & _is(after, NUMBER), F.array().cast("array<string>"))
-        .when(is_number & _is(before, CURRENCY), _amount(core, F.lit(False)))
+    mail = F.contains(core, F.lit("@")) & _is(core, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+")
+    mixed = lambda said: (
+        said.when(_is(core, "[A-Za-z0-9-]+") & core.rlike("[0-9]") & core.rlike("[A-Za-z]"), F.transform(runs("[A-Za-z]+|[0-9]+"), id_run))
+        .when(core.rlike("[0-9]") & core.rlike("[ऀ-ॿ]"), F.transform(runs("[0-9]+|[^0-9-]+"), lambda r: F.when(r.rlike("^[0-9]"), id_run(r)).otherwise(_item(RAW, r))))
+    )
+    number = (
+        F.when(_is(before, CURRENCY), _amount(core, F.lit(False)))
+        .when(in_rupees, _amount(core, ~F.contains(core, F.lit("."))))
+        .when(F.contains(core, F.lit(".")), F.array(_item("n", whole), word("point"), _item("d", fraction)))
+        .when(_is(core, "(?:19|20)[0-9]{2}") & _month_of(before).isNotNull(), F.array(_item("y", core)))
+        .otherwise(F.array(_number(core)))
+    )
+    digit_first = mixed(
+        F.when(is_number, number)
         .when(_is(core, clock), F.array_compact(F.array(_item("n", part(clock, 1)), F.when(minutes.rlike("^0[1-9]"), word("oh")), F.when(minutes != "00", _item("n", minutes)), F.when(part(clock, 3) != "", _item("l", F.upper(part(clock, 3)))))))
         .when(_is(core, date), F.when(month_at.between(1, 12), F.array(_item("n", part(date, 1)), month, _item("y", year))).otherwise(F.array(_item("d", core))))
         .when(_is(core, ordinal), F.array(_item("o", part(ordinal, 1))))
         .when(_is(core, share), F.array_compact(F.array(_item("n", part(share, 1)), F.when(part(share, 2) != "", word("point")), F.when(part(share, 2) != "", _item("d", part(share, 2))), word("percent"))))
         .when(_is(core, span), F.array(_item("n", part(span, 1)), word("to"), _item("n", part(span, 2))))
-        .when(is_number & in_rupees, _amount(core, ~F.contains(core, F.lit("."))))
-        .when(is_number & F.contains(core, F.lit(".")), F.array(_item("n", whole), word("point"), _item("d", fraction)))
-        .when(_is(core, "(?:19|20)[0-9]{2}") & _month_of(before).isNotNull(), F.array(_item("y", core)))
-        .when(is_number, F.array(_number(core)))
+    )
+    other = mixed(
+        F.when(_is(core, attached), _amount(part(f"^{attached}$", 1), in_rupees))
+        .when(_is(core, CURRENCY) & _is(after, NUMBER), F.array().cast("array<string>"))
         .when(_is(core, "(?i)am|pm|a[.]m|p[.]m") & (_is(before, NUMBER) | _is(before, "[0-9]{1,2}:[0-9]{2}")), F.array(_item("l", F.upper(F.replace(core, F.lit("."), F.lit(""))))))
         .when(_is(core, "[+][0-9]+"), F.array(word("plus"), _item("d", core)))
         .when(_is(core, "[xX][0-9]{1,2}"), F.array(_item("n", F.substring(core, 2, 9))))
-        .when(_is(core, "[A-Za-z0-9-]+") & core.rlike("[0-9]") & core.rlike("[A-Za-z]"), F.transform(runs("[A-Za-z]+|[0-9]+"), id_run))
-        .when(core.rlike("[0-9]") & core.rlike("[ऀ-ॿ]"), F.transform(runs("[0-9]+|[^0-9-]+"), lambda r: F.when(r.rlike("^[0-9]"), id_run(r)).otherwise(_item(RAW, r))))
-        .when(_is(core, "[A-Z]{2,4}") & ~core.isin(*WHOLE), F.array(_item("l", core)))
-    )
-    return said.when(_is(core, "[A-Za-z]{3,9}") & _month_of(core).isNotNull(), F.array(_item("w", _month_of(core))))
+    ).when(_is(core, "[A-Z]{2,4}") & ~core.isin(*WHOLE), F.array(_item("l", core))).when(_is(core, "[A-Za-z]{3,9}") & _month_of(core).isNotNull(), F.array(_item("w", _month_of(core))))
+    # What begins with a digit is tried apart, so that a token meets few patterns.
+    return F.when(mail, F.transform(runs("[A-Za-z]+|[0-9]+|[@.]"), mail_run)).when(F.ascii(core).between(ord("0"), ord("9")), digit_first).otherwise(other)
 
 
-def canonical(item: Column) -> Column:
-    """The words of an item; numbers of more than ten digits are said digit by digit, and so are years of other than two or four digits."""
-    kind, text = F.left(item, F.lit(1)), F.substring(item, 2, 1 << 30)
-    n = F.when(kind.isin("n", "o", "y") & (F.length(text) <= LONGEST), text).try_cast("bigint")
-    return (
-        F.when(kind == "w", F.array(text))
-        .when(kind == RAW, F.array(item))
-        .when(kind == "l", F.filter(F.split(text, ""), lambda c: c != ""))
-        .when((kind == "n") & n.isNotNull(), F.split(N.cardinal(n), " "))
-        .when(kind == "o", F.split(N.ordinal(n), " "))
-        .when((kind == "y") & (F.length(text) == 4), F.split(N.year(n), " "))
-        .otherwise(F.split(N.digit_words(text), " "))
-    )
+def _under_hundred(n: int) -> list[str]:
+    return [N.SMALL[n]] if n < 20 else [N.TENS[n // 10 - 2], *([N.SMALL[n % 10]] if n % 10 else [])]
+
 
+def _cardinal(n: int) -> list[str]:
+    """The words of a whole number below a thousand crore, on the Indian scale."""
+    if n < 100:
+        return _under_hundred(n)
+    if n >= 10**9:
+        return [*_under_hundred(n // 10**9), "hundred", *(_cardinal(n % 10**9) if n % 10**9 >= 10**7 else ["crore", *(_cardinal(n % 10**7) if n % 10**7 else [])])]
+    value, scale = next((v, w) for w, v in reversed(N.SCALES.items()) if n >= v)
+    return [*_under_hundred(n // value), scale, *(_cardinal(n % value) if n % value else [])]
 
-def rendered(words: Column, script: str) -> Column:
-    """Canonical words for a voice: ``devanagari`` or ``latin``."""
-    table = F.create_map(*[F.lit(x) for w, forms in SAID.items() for x in (w, forms[0 if script == "devanagari" else 1])])
-    raw = lambda w: F.substring(w, 2, 1 << 30)
-    plain = raw if script == "devanagari" else (lambda w: F.regexp_replace(F.lower(raw(w)), "[^a-z']", ""))
-    return F.array_join(F.filter(F.transform(words, lambda w: F.when(w.startswith(RAW), plain(w)).otherwise(F.try_element_at(table, w))), lambda x: x != ""), " ")
+
+def _year(n: int) -> list[str]:
+    if 2000 <= n < 2010:
+        return _cardinal(n)
+    return [*_under_hundred(n // 100), *(["hundred"] if n % 100 == 0 else ["oh"] if n % 100 < 10 else []), *(_under_hundred(n % 100) if n % 100 else [])]
+
+
+def canonical(item: str) -> list[str]:
+    """The words of an item; numbers of more than ten digits are said digit by digit, and so are years of other than two or four digits."""
+    kind, text = item[0], item[1:]
+    n = int(text) if kind in "noy" and text.isascii() and text.isdigit() and len(text) <= LONGEST else None
+    if kind == "w":
+        return [text]
+    if kind == "l":
+        return list(text)
+    if kind == "n" and n is not None:
+        return _cardinal(n)
+    if kind == "o" and n is not None:
+        *first, last = _cardinal(n)
+        return [*first, N.IRREGULAR.get(last) or (f"{last[:-1]}ieth" if last.endswith("y") else f"{last}th")]
+    if kind == "y" and n is not None and len(text) == 4:
+        return _year(n)
+    return [N.SMALL[int(d)] for d in re.findall("[0-9]", text)]
+
+
+@lru_cache(1 << 16)
+def rendered(item: str) -> tuple[str, str]:
+    """An item for a voice, in Latin letters and in Devanagari; what is said as it is written loses other letters in the first."""
+    if item[0] == RAW:
+        return re.sub("[^a-z']", "", item[1:].lower()), item[1:]
+    forms = [SAID[w] for w in canonical(item) if w in SAID]
+    return " ".join(x for _, x in forms), " ".join(x for x, _ in forms)
+
+
+@F.pandas_udf(T.StructType([T.StructField(x, T.StringType()) for x in ("latin", "devanagari")]))
+def voiced(items: pd.Series) -> pd.DataFrame:
+    """Items between blanks -> what is said in both scripts. Tokens have no blanks, so items have none."""
+    forms = [[rendered(item) for item in x.split(" ") if item] for x in items]
+    return pd.DataFrame({"latin": [" ".join(x for x, _ in row if x) for row in forms], "devanagari": [" ".join(x for _, x in row if x) for row in forms]})
+
+
+def _core(token: Column) -> Column:
+    """A token without the marks around it; a line separator at its end, which a pattern's end steps over, needs the pattern."""
+    odd = token.endswith("\u0085") | token.endswith("\u2028") | token.endswith("\u2029")
+    return F.when(odd, F.regexp_replace(token, f"^[{MARKS}]+|[{MARKS}]+$", "")).otherwise(F.btrim(token, F.lit(MARKS.replace("\\", ""))))
+
+
+def found(words: Column, everything: bool = False) -> Column:
+    """The tokens of a text that are said otherwise than they are written, as an array of (place, token, before, core, items) in their order; with ``everything``, all tokens. ``words`` is a column of ``tokens``."""
+    pattern = f"(?i)[0-9]|^[{MARKS}]*[ap][.]?m[{MARKS}]*$|^[{MARKS}]*(sept|{'|'.join(f'{m[:3]}({m[3:]})?' for m in MONTHS)})[{MARKS}]*$|(?-i:[A-Z]{{2}})"
+    likely = lambda w: F.lit(True) if everything else w.rlike(pattern)
+    beside = lambda i: _core(F.coalesce(F.get(words, i), F.lit("")))
+    # Each step binds what the next one uses more than once.
+    picked = F.array_compact(F.transform(words, lambda w, i: F.when(likely(w), F.struct(i.alias("place"), w.alias("token"), beside(i - 1).alias("before"), _core(w).alias("core"), beside(i + 1).alias("after")))))
+
+    def made(x: Column) -> Column:
+        items = spoken_items(x["before"], x["core"], x["after"])
+        if everything:
+            items = F.coalesce(items, F.when(x["core"] != "", F.array(_item(RAW, x["core"]))).otherwise(F.array().cast("array<string>")))
+        return F.struct(x["place"].alias("place"), x["token"].alias("token"), x["before"].alias("before"), x["core"].alias("core"), F.array_join(items, " ").alias("items"))
+
+    # What is said as written has no items.
+    return F.filter(F.transform(picked, made), lambda x: F.lit(everything) | (x["items"] != ""))
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text; digits may be Devanagari. Null and empty texts have none."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "०१२३४५६७८९", "0123456789")
+    return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
 
 
 def groups(texts: DataFrame, key: str, text: str, everything: bool = False) -> DataFrame:
@@ -137,23 +207,12 @@ def groups(texts: DataFrame, key: str, text: str, everything: bool = False) -> D
     written, each with the marks around it; with ``everything``, all tokens.
 
     A currency and the number after it are one group, at the number's place. Digits may be Devanagari. Null and empty texts
-    have no rows. A text is one row until its tokens are picked, so nothing is shuffled.
+    have no rows. A text is one row until its tokens are found, so nothing is shuffled.
     """
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "०१२३४५६७८९", "0123456789")
-    tokens = texts.select(F.col(key), F.filter(F.split(plain, r"\s+"), lambda w: w != "").alias("_w")).where(F.size("_w") > 0)
-    lead, trail = F.regexp_extract("_t", f"^[{MARKS}]*", 0), F.regexp_extract("_t", f"[{MARKS}]*$", 0)
-    core = lambda c: F.regexp_replace(c, f"^[{MARKS}]+|[{MARKS}]+$", "")
-    none, n = F.array(F.lit("")), F.size("_w")
-    around = F.arrays_zip(F.concat(none, F.slice("_w", 1, n)).alias("b"), F.col("_w").alias("t"), F.concat(F.slice("_w", 2, n), none, none).alias("a"), F.sequence(F.lit(0), n - 1).alias("place"))
-    likely = lambda x: x["t"].isNotNull() & x["t"].rlike(f"(?i)[0-9]|^[{MARKS}]*[ap][.]?m[{MARKS}]*$|^[{MARKS}]*(sept|{'|'.join(f'{m[:3]}({m[3:]})?' for m in MONTHS)})[{MARKS}]*$|(?-i:[A-Z]{{2}})")
-    picked = F.filter(around, (lambda x: x["t"].isNotNull()) if everything else likely)
-    rows = tokens.select(key, F.explode(picked).alias("_x")).select(key, F.col("_x.place").alias("place"), F.col("_x.b").alias("_b"), F.col("_x.t").alias("_t"), F.col("_x.a").alias("_a"))
-    marked = rows.select(key, "place", core("_b").alias("_b"), core("_t").alias("_c"), core("_a").alias("_a"), F.when(core("_t") == "", F.col("_t")).otherwise(lead).alias("lead"), F.when(core("_t") == "", "").otherwise(trail).alias("trail"))
-    items = spoken_items(F.col("_b"), F.col("_c"), F.col("_a"))
-    if everything:
-        items = F.coalesce(items, F.when(F.col("_c") != "", F.array(_item(RAW, F.col("_c")))).otherwise(F.array().cast("array<string>")))
-    # Exploding binds the words, so that they are made once for both scripts; what is said as written has none.
-    bound = F.filter(F.array(F.struct(F.flatten(F.transform(items, canonical)).alias("w"))), lambda x: F.lit(everything) | (F.size(x["w"]) > 0))
-    said = marked.select("*", F.explode(bound).alias("_s"))
-    whole = F.when(_is(F.col("_b"), CURRENCY) & _is(F.col("_c"), NUMBER), F.concat_ws(" ", "_b", "_c")).otherwise(F.col("_c"))
-    return said.select(key, "place", "lead", whole.alias("written"), "trail", rendered(F.col("_s.w"), "latin").alias("latin"), rendered(F.col("_s.w"), "devanagari").alias("devanagari"))
+    rows = texts.select(key, tokens(F.col(text)).alias("_w")).select(key, F.explode(found(F.col("_w"), everything)).alias("_x"))
+    token, before, core = F.col("_x.token"), F.col("_x.before"), F.col("_x.core")
+    lead, trail = F.regexp_extract(token, f"^[{MARKS}]*", 0), F.regexp_extract(token, f"[{MARKS}]*$", 0)
+    whole = F.when(_is(before, CURRENCY) & _is(core, NUMBER), F.concat_ws(" ", before, core)).otherwise(core)
+    bare = core == ""
+    said = rows.select(key, F.col("_x.place").alias("place"), F.when(bare, token).otherwise(lead).alias("lead"), whole.alias("written"), F.when(bare, "").otherwise(trail).alias("trail"), voiced("_x.items").alias("_s"))
+    return said.select(key, "place", "lead", "written", "trail", F.col("_s.latin").alias("latin"), F.col("_s.devanagari").alias("devanagari"))

@@ -198,5 +198,8 @@ def said_orders(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     written = F.format_string("pay Rs %d, by %s for EC-%s at %d:%02dpm.", F.floor("o_totalprice").cast("bigint"), F.date_format("o_orderdate", "d/M/yyyy"), F.lpad(key.cast("string"), 6, "0"), key % 12 + 1, key % 60)
     rows = t.orders.where(F.year("o_orderdate") < 2000).select("o_orderkey", written.alias("written"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c]), " ")
-    return A.groups(rows, "o_orderkey", "written").groupBy("o_orderkey").agg(joined("latin").alias("latin"), joined("devanagari").alias("devanagari"))
+    # A notice stays one row and nothing is shuffled. Exploding binds what is found.
+    words = rows.select("o_orderkey", A.tokens(F.col("written")).alias("w"))
+    found = words.select("o_orderkey", F.explode(F.filter(F.array(A.found(F.col("w"))), lambda s: F.size(s) > 0)).alias("s"))
+    said = found.select("o_orderkey", A.voiced(F.array_join(F.transform("s", lambda x: x["items"]), " ")).alias("said"))
+    return said.select("o_orderkey", "said.latin", "said.devanagari")
