@@ -126,3 +126,18 @@ def test_query_on_whole_texts(spark):
     rows = QUERIES["num_grammar_texts"](spark, sf).collect()
     assert len(rows) == len(texts) and sum(r.numbers for r in rows) > 50
     assert all(r.numbers == len(G.numbers_in(G.convert(texts[r.id]))) and r.changed == (G.convert(texts[r.id]) != texts[r.id]) for r in rows)
+
+
+def test_only_words_around_numbers_become_tokens(monkeypatch):
+    """A long text with few numbers makes few tokens, and gives what all its tokens give."""
+    words, rng = [f"{a}{b}ord" for a in "xyzw" for b in "aeiou"], random.Random(2)
+    said = ["twenty five minutes", "order EC at at five zero five", "seat fourteen B", "eight zohomail", "At", "A B", "ek do", "nine oh four five point", "do teen din"]
+    texts = [" ".join(rng.choice(said) if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(500)]
+    want = [" ".join(G.converted([G.Token(x) for x in t.split(" ")])) for t in texts]
+    made = []
+    first = G.Token.__init__
+    monkeypatch.setattr(G.Token, "__init__", lambda self, raw: (made.append(raw), first(self, raw))[1])
+    assert [G.convert(t) for t in texts] == want
+    made.clear()
+    assert G.convert(" ".join(words * 1000) + " for twenty five minutes " + " ".join(words)).count("for 25 minutes") == 1
+    assert len(made) < 20
