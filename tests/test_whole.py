@@ -66,3 +66,14 @@ def test_chunks_of_whole_texts(spark):
         assert got[k].cer == round(sum(edits(x, y) for x, y in letters) / sum(len(x) for x, _ in letters), 6)
         assert got[k].wer == round(sum(edits(x, y) for x, y in chunks) / len(a), 6)
     assert sum(r.wer > 0 for r in got.values()) > len(got) / 2
+
+
+def test_chunk_report_pairs_texts_within_their_rows(spark):
+    """A text stands beside its noisy form without a join; the distance without equal ends is that of all words."""
+    from vakya.functions import distance as D
+
+    assert "Join" not in QUERIES["ma_chunk_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    rng = random.Random(4)
+    for _ in range(1500):
+        a, b = rng.choices("abcd", k=rng.randrange(12)), rng.choices("abcd", k=rng.randrange(12))
+        assert D.edit_distance(a, b) == D.edit_counts(a, b)[0]

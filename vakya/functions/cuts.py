@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ENDS = (",", ".", "!", "?", ";", ":", "।")
+AROUND = "".join(ENDS) + "\"'()"
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ class Limits:
 
 
 def core(word: str) -> str:
-    return word.strip("".join(ENDS) + "\"'()").lower()
+    return word.strip(AROUND).lower()
 
 
 def penalties(words: list[str], limits: Limits) -> dict[int, int]:
@@ -34,14 +35,16 @@ def penalties(words: list[str], limits: Limits) -> dict[int, int]:
     found = {}
     for j in range(2, len(words) - 1):
         before, after = words[j - 1], words[j]
-        if any(c.isdigit() for c in before) and any(c.isdigit() for c in after):
-            continue
         if before.endswith(ENDS):
-            found[j] = 0
+            cost = 0
         elif core(after) in limits.conjunctions:
-            found[j] = limits.conjunction
+            cost = limits.conjunction
         elif core(before) in limits.particles:
-            found[j] = limits.particle
+            cost = limits.particle
+        else:
+            continue
+        if not (any(c.isdigit() for c in before) and any(c.isdigit() for c in after)):
+            found[j] = cost
     return found
 
 

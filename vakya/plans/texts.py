@@ -333,6 +333,11 @@ ARTICLES = ", ".join(f"'{x}'" for x in K.ARTICLES)
              when i = swap then substr(w[i], 1, place - 1) || substr(w[i], place + 1, 1) || substr(w[i], place, 1) || substr(w[i], place + 2) else w[i] end), lambda x: x is not null), ' ') as noisy from l""")
 def noise_protected(t: Tables) -> DataFrame:
     """Whole texts with articles dropped, a pair merged and a word misspelt; words with digits, at signs or a capital stay as they are."""
-    rows = t.conversations.where("text is not null").select("conv_id", "turn", F.split("text", " ").alias("w"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("seed"))
+    return with_noise(t.conversations).select("conv_id", "turn", "noisy")
+
+
+def with_noise(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, text, noisy): texts beside their noisy form, which depends on the keys."""
+    rows = turns.where("text is not null").select("conv_id", "turn", "text", F.split("text", " ").alias("w"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("seed"))
     marked = rows.withColumn("p", F.transform("w", lambda x: x.rlike("[0-9@]|^[A-Z]")))
-    return marked.select("conv_id", "turn", F.array_join(K.noisy(F.col("w"), F.col("p"), F.col("seed")), " ").alias("noisy"))
+    return marked.select("conv_id", "turn", "text", F.array_join(K.noisy(F.col("w"), F.col("p"), F.col("seed")), " ").alias("noisy"))

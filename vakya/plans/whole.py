@@ -12,16 +12,19 @@ from ..functions import text as X
 from ..operators import windows as O
 from ..sources.tables import written
 from .registry import Tables, count_n, query
-from .texts import noise_protected
+from .texts import with_noise
 
 #: Most hashes of passages that are sent to each task; beyond it both sides are shuffled.
 BROADCAST = 500_000
+#: Edits of letters that are looked for in a band first.
+BAND = 16
 
 
 @query("ma_chunk_report")
 def chunk_report(t: Tables) -> DataFrame:
     """Whole texts against their noisy form, chunk by chunk at the same cuts: the error rates of letters and words, and chunks whose sequence of numbers differs."""
-    pairs = t.conversations.join(noise_protected(t), ["conv_id", "turn"]).select("conv_id", "turn", F.split(F.trim("text"), "\\s+").alias("a"), F.split(F.trim("noisy"), "\\s+").alias("b"), K.cut_texts()("text", "noisy").alias("c"))
+    # Each text is beside its noisy form within its row.
+    pairs = with_noise(t.conversations.where("conv_id is not null and turn is not null")).select("conv_id", "turn", F.split(F.trim("text"), "\\s+").alias("a"), F.split(F.trim("noisy"), "\\s+").alias("b"), K.cut_texts()("text", "noisy").alias("c"))
     ends = lambda cuts, words: F.concat(F.array(F.lit(0)), cuts, F.array(F.size(words)))
     both = F.arrays_zip(ends(F.col("c.cuts"), F.col("a")).alias("x"), ends(F.col("c.parallel"), F.col("b")).alias("y"))
     bounds = pairs.select("conv_id", "turn", "a", "b", both.alias("e")).select("conv_id", "turn", "a", "b", "e", F.explode(F.sequence(F.lit(1), F.size("e") - 1)).alias("i"))
@@ -29,7 +32,9 @@ def chunk_report(t: Tables) -> DataFrame:
     chunks = bounds.select("conv_id", "turn", part("a", "x").alias("gold"), part("b", "y").alias("heard"))
     letters = lambda c: F.regexp_replace(F.lower(c), "\\s+", "")
     numbers = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
-    scored = chunks.select("conv_id", "turn", F.levenshtein(letters("gold"), letters("heard")).alias("edits"), F.length(letters("gold")).alias("letters"), D.word_edits("heard", "gold")["distance"].alias("word_edits"), F.size(F.split("gold", " ")).alias("words"), (numbers("gold") != numbers("heard")).alias("other_numbers"))
+    # Few edits are found in a narrow band; only more of them (-1) need all places.
+    edits = lambda a, b: F.when(F.levenshtein(a, b, BAND) >= 0, F.levenshtein(a, b, BAND)).otherwise(F.levenshtein(a, b))
+    scored = chunks.select("conv_id", "turn", edits(letters("gold"), letters("heard")).alias("edits"), F.length(letters("gold")).alias("letters"), D.word_distance("heard", "gold").alias("word_edits"), F.size(F.split("gold", " ")).alias("words"), (numbers("gold") != numbers("heard")).alias("other_numbers"))
     rate = lambda a, b: F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 6)
     return scored.groupBy("conv_id", "turn").agg(count_n().alias("chunks"), rate("edits", "letters").alias("cer"), rate("word_edits", "words").alias("wer"), F.count_if("other_numbers").alias("other_numbers"))
 
