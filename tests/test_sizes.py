@@ -10,6 +10,7 @@ import pytest
 from vakya.operators import aggregates as A
 from vakya.operators import resolve as R
 from vakya.plans import aggregates, more, records, script, streams, values, whole
+from vakya.plans import mentions as mentions_of
 from vakya.streaming import correlate as C
 
 
@@ -157,3 +158,16 @@ def test_lines_stay_in_their_text(spark):
     found = values.lines(Made(documents=docs))
     assert shuffles(found) == 0
     assert [tuple(r) for r in found.collect()] == [(1, 0, "a", "b"), (1, 1, "b", ""), (1, 2, "", "c"), (1, 3, "c", None), (3, 0, "", None), (4, 0, "x", None)]
+
+
+def test_mentions_broadcast_nothing(spark):
+    entities = spark.createDataFrame([(1, 51234, "red ring", 1), (1, 61234, "old bolt", 2)], "owner long, entity long, name string, at long")
+    mentions = spark.createDataFrame([("a", 1, "the bolt"), ("b", 1, "order 51235"), ("c", 1, "the one ending in 234")], "mention string, owner long, text string")
+    found = R.resolve(mentions, entities)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("a", "words", 61234), ("b", "misheard", 51234), ("c", "ask", None)}
+    made = Made(
+        orders=spark.createDataFrame([(9, 1, 5)], "o_orderkey long, o_custkey long, o_orderdate long"), part=spark.createDataFrame([(4, "red ring")], "p_partkey long, p_name string"), lineitem=spark.createDataFrame([(9, 4, 1)], "l_orderkey long, l_partkey long, l_linenumber int")
+    )
+    assert "Broadcast" not in mentions_of.owned_orders(made)._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in mentions_of.mentions(made).collect()] == [(9, "id", 9)]  # cancel order 00000009
