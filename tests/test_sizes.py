@@ -9,7 +9,7 @@ import pytest
 
 from vakya.operators import aggregates as A
 from vakya.operators import resolve as R
-from vakya.plans import aggregates, more, records, script, streams, values, whole
+from vakya.plans import aggregates, more, records, registry, script, streams, values, whole
 from vakya.plans import mentions as mentions_of
 from vakya.streaming import correlate as C
 
@@ -144,6 +144,22 @@ def test_gate_rounds_as_sql(spark):
     assert last.noise == duckdb.sql(f"select round({v!r}::double, 6)").fetchall()[0][0]
 
 
+def test_gate_frames_equal_sql(spark):
+    rng = random.Random(6)
+    # Values of five digits, whose noise differs in its last bit unless it is rounded once; then frames without level, time or user, and infinity (DuckDB fails on NaN).
+    odd = [None, None, float("inf"), float("-inf"), 1e305, -5.0, 0.0]
+    rows = [(i % 40, i, f"2024-01-01 00:{i // 60 % 60:02}:{i % 60:02}", round(rng.random() * 150, 5)) for i in range(1600)]
+    rows += [(100 + i % 20 if rng.random() < 0.98 else None, i, f"2024-01-01 00:00:{i % 60:02}" if rng.random() < 0.95 else None, rng.choice(odd) if rng.random() < 0.4 else rng.random() * 150) for i in range(1600, 3200)]
+    rows += [(200, i, "2024-01-01 00:00:00", None) for i in range(3200, 3225)]
+    frames = spark.createDataFrame(rows, "user_id long, event_id long, ts string, value double").selectExpr("user_id", "event_id", "cast(ts as timestamp_ntz) as ts", "value")
+    con = duckdb.connect()
+    con.execute("create table events (user_id bigint, event_id bigint, ts timestamp, value double)")
+    con.executemany("insert into events values (?, ?, ?, ?)", rows)
+    want = con.execute(registry.ORACLE_SQL["str_gate_frames"]).fetchall()
+    key = lambda r: tuple(map(repr, (r[0], *(x + 0.0 if isinstance(x, float) else x for x in r[1:3]), r[3])))
+    assert sorted(map(key, streams.gate_frames(Made(events=frames)).collect())) == sorted(map(key, want))
+
+
 def test_only_texts_of_pairs_are_split_again(spark):
     gold = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(1, "a b " + gold + " c"), (2, "w0 w1 w2 w3 w4 w5 w6 x"), (3, None), (4, gold), (5, "w1")], "doc_id long, text string")

@@ -248,9 +248,9 @@ def slot_claims(t: Tables) -> DataFrame:
     select event_id, round(noise, 6) as noise, round(opening, 6) as opening, max(case when value > opening then 1 else 0 end) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) = 1 as open from g""")
 def gate_frames(t: Tables) -> DataFrame:
     """The gate of each frame, from the order statistic that the machine keeps of the last twenty frames."""
-    f = gate_gain(t)
-    # Rounded as numbers, as SQL does: by its written digits, a number just below a half would go up.
-    rounded = lambda c: (F.round(F.col(c) * 1000000.0) / 1000000.0).alias(c)
+    f = M.fold_batch(t.events, "user_id", "ts", "event_id", ["value", "event_id"], D.Gate, D.Gate.FIELDS, timeless=True)
+    # Rounded as numbers, as SQL does: by its written digits, a number just below a half would go up. What has no millionths left stays.
+    rounded = lambda c: F.when(F.abs(c) > 1e300, F.col(c)).otherwise(F.round(F.col(c) * 1000000.0) / 1000000.0).alias(c)
     return f.select(F.col("id").alias("event_id"), rounded("noise"), rounded("opening"), "open")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 from .machines import SECOND, Machine
 
@@ -16,6 +18,10 @@ def micros(seconds: float) -> int:
     return round(seconds * SECOND)
 
 
+#: a * b + c, rounded once.
+fma = getattr(math, "fma", None) or (lambda a, b, c: float(Fraction(a) * Fraction(b) + Fraction(c)))
+
+
 class Segments(Machine):
     """Pieces of text become segments, which end after a silence of more than ``gap`` seconds, or early with a piece that closes a sentence.
 
@@ -359,7 +365,8 @@ class Gate(Machine):
 
     Events: (level,). Rows: the event's id (given as a second value), noise (a percentile of the window, kept sorted
     beside it, so that a frame costs a search), opening, open, gain. The gain follows a level that rises fast and falls
-    slowly, by a bounded step a frame, and only while the gate is open.
+    slowly, by a bounded step a frame, and only while the gate is open. A frame without a level has its place in the
+    window and among the frames after a loud one; NaN is above all levels.
     """
 
     FIELDS = "id long, noise double, opening double, open boolean, gain double"
@@ -369,30 +376,39 @@ class Gate(Machine):
         self.levels = levels
         self.s = {"last": [], "sorted": [], "opening": levels.least, "hang": 0, "level": None, "gain": 0.0}
 
-    def percentile(self) -> float:
-        values = self.s["sorted"]
-        place = (len(values) - 1) * self.levels.percent / 100
+    def percentile(self) -> float | None:
+        values, last = self.s["sorted"], self.s["last"]
+        n = len(values) if len(values) == len(last) else sum(v is not None for v in last)  # NaN isn't sorted in
+        if not n:
+            return None
+        place = (n - 1) * self.levels.percent / 100
         low = int(place)
-        high = min(low + 1, len(values) - 1)
-        return values[low] * (1 - (place - low)) + values[high] * (place - low)
+        part = place - low
+        a, b = (values[i] if i < len(values) else math.nan for i in (low, min(low + 1, n - 1)))
+        if not part:
+            return a
+        try:
+            return fma(a, 1 - part, b * part)  # as DuckDB's compiler fuses it
+        except (ValueError, OverflowError):
+            return a * (1 - part) + b * part
 
     def on(self, at: int, row: tuple) -> Iterator[tuple]:
         s, c, (db, event) = self.s, self.levels, row
-        if db is None:
-            return
         s["last"].append(db)
-        insort(s["sorted"], db)
+        if db is not None and db == db:
+            insort(s["sorted"], db)
         if len(s["last"]) > c.window:
             old = s["last"].pop(0)
-            s["sorted"].pop(bisect_left(s["sorted"], old))
+            if old is not None and old == old:
+                s["sorted"].pop(bisect_left(s["sorted"], old))
         noise = None
         if len(s["last"]) >= c.warm_up:
             noise = self.percentile()
-            s["opening"] = min(max(c.least, noise + c.margin), c.most)
-        loud = db > s["opening"]
+            s["opening"] = c.least if noise is None else c.most if noise != noise else min(max(c.least, noise + c.margin), c.most)
+        loud = db is not None and (db > s["opening"] or db != db)
         opened = loud or s["hang"] > 0
         s["hang"] = c.hang if loud else max(0, s["hang"] - 1)
-        if opened:
+        if opened and db is not None:
             self.adjust(db)
         yield event, noise, s["opening"], opened, s["gain"]
 
