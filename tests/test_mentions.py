@@ -1,5 +1,7 @@
 """Rules of mentions, one by one."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from vakya.operators import resolve as R
@@ -23,3 +25,19 @@ def test_empty(spark):
     none = spark.createDataFrame([], "owner long, entity long, name string, at long")
     assert R.resolve(spark.createDataFrame([(1, 1, "x")], "mention long, owner long, text string"), none).collect()[0].rule == "ask"
     assert R.resolve(spark.createDataFrame([], "mention long, owner long, text string"), none).count() == 0
+
+
+def test_ways_agree(spark, monkeypatch):
+    rng, some = random.Random(4), "red blue old ring bolt lamp box".split()
+    name = lambda: None if rng.random() < 0.05 else " ".join(rng.choice(some) for _ in range(rng.randint(0, 5)))
+    number = lambda: rng.choice([rng.randint(0, 30), rng.randint(100, 140), rng.randint(51200, 51260), 987651234])
+    entities = [(o, number(), name(), rng.choice([1, 2, 3, 4, None])) for o in (*range(60), None) for _ in range(rng.randint(0, 9))]
+    text = lambda: " ".join(rng.choice([*some, str(number()), f"00{number()}", "234", "the", "latest", "oldest", "second", "third"]) for _ in range(rng.randint(0, 4)))
+    mentions = [(i, rng.choice([*range(62), None]), None if rng.random() < 0.02 else text()) for i in range(1500)]
+    m, e = spark.createDataFrame(mentions, "mention long, owner long, text string"), spark.createDataFrame([*entities, *entities[:50]], "owner long, entity long, name string, at long")
+    found = lambda: {r.mention: (r.rule, r.entity) for r in R.resolve(m, e).collect()}
+    by_owner = found()
+    assert len(by_owner) == 1500 and {r for r, _ in by_owner.values()} == {*R.RULES, "ask"}
+    for large in (20, 0):  # some owners go by joins, then all
+        monkeypatch.setattr(R, "LARGE", large)
+        assert found() == by_owner

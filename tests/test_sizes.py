@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from datetime import date
 
 import duckdb
 import numpy as np
@@ -187,3 +188,38 @@ def test_mentions_broadcast_nothing(spark):
     )
     assert "Broadcast" not in mentions_of.owned_orders(made)._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in mentions_of.mentions(made).collect()] == [(9, "id", 9)]  # cancel order 00000009
+
+
+def test_large_owners_broadcast_nothing(spark, monkeypatch):
+    monkeypatch.setattr(R, "LARGE", 0)
+    entities = spark.createDataFrame([(1, 51234, "red ring", 1), (1, 61234, "old bolt", 2)], "owner long, entity long, name string, at long")
+    mentions = spark.createDataFrame([("a", 1, "the bolt"), ("b", 1, "order 51235"), ("c", None, "order 51234")], "mention string, owner long, text string")
+    found = R.resolve(mentions, entities)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("a", "words", 61234), ("b", "misheard", 51234), ("c", "ask", None)}
+
+
+def test_call_arguments_compare_a_letter_once(spark):
+    rng, some = random.Random(7), "red blue cold ring bolt the a of".split()
+    words = lambda n: " ".join(rng.choice(some) for _ in range(rng.randint(0, n)))
+    texts = [f"{words(9)}{rng.choice(['. ', chr(10), ' ', '! '])}{rng.choice(['', '(123) 456-7890 ', '+91 (555) 123-4567 '])}{words(4)} {rng.choice(['', 'a.b@site.com '])}{words(3)}{rng.choice(['', ' (999) 111-2222 x@y.org'])}" for _ in range(30)]
+    texts += ["", " ", "my home. x", "no end " * 500]
+    kinds = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    tables = {
+        "documents": ("doc_id bigint, text string", list(enumerate(texts))),
+        "nation": ("n_nationkey int, n_name string", [(0, "PERU"), (1, "CHINA")]),
+        "customer": ("c_custkey bigint, c_nationkey int, c_acctbal double", [(i, i % 3, float(i % 4)) for i in range(50)]),
+        "part": ("p_partkey bigint, p_name string", [(i, f"{rng.choice(some)} {rng.choice(some)}") for i in range(20)]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderdate date, o_orderpriority string", [(1000 + 7 * i, rng.choice([*range(50), None]), date(2024, 1, rng.randint(1, 28)), rng.choice(kinds)) for i in range(400)]),
+        "lineitem": ("l_orderkey bigint, l_partkey bigint, l_linenumber int", [(1000 + 7 * i, rng.randint(0, 21), n) for i in range(400) for n in range(rng.randint(1, 3))]),
+    }
+    con, made = duckdb.connect(), {}
+    for name, (columns, rows) in tables.items():
+        con.execute(f"create table {name} ({columns})")
+        con.executemany(f"insert into {name} values ({', '.join('?' * len(rows[0]))})", rows)
+        made[name] = spark.createDataFrame(rows, columns)
+    found = values.call_arguments(Made(spark=spark, **made))
+    assert plan(found).count("Join ") <= 3  # homes, nations and counts of calls to letters; none by call
+    want = con.execute(registry.ORACLE_SQL["ma_call_arguments"]).fetchall()
+    assert {tuple(r) for r in found.collect()} == set(want) and len(want) == 7
+    assert {tuple(map(str, r)) for r in mentions_of.mentions(Made(spark=spark, **made)).collect()} == {tuple(map(str, r)) for r in con.execute(registry.ORACLE_SQL["er_mentions"]).fetchall()}

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -115,3 +116,16 @@ def test_letters_said_one_by_one_are_joined(spark):
     cases = {"E C 0 4, please": "ec04 please", "a bc d e": "a bc de", "": "", "x": "x", "ab cd": "ab cd", "1 2 34 5 6": "12 34 56"}
     rows = spark.createDataFrame(list(cases.items()), "x string, want string").select("want", X.spelled_joined(F.col("x")).alias("got")).collect()
     assert all(r.got == r.want for r in rows)
+
+
+def test_alike(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice("a b c d a a e@f".split()) for _ in range(rng.randint(0, 8)))
+    rows = [(text(), text()) for _ in range(300)] + [("", ""), ("A, b", "b a"), (None, "a"), ("a", None)]
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", V.alike(F.col("x"), F.col("y")).alias("v")).collect()
+    for r in got:
+        if r.x is None or r.y is None:
+            assert not r.v
+            continue
+        a, b = Counter(re.findall("[a-z0-9@]+", r.x.lower())), Counter(re.findall("[a-z0-9@]+", r.y.lower()))
+        assert r.v == (not a and not b or 2 * (a & b).total() / (a.total() + b.total()) >= 0.6), r
