@@ -41,3 +41,9 @@ def test_ways_agree(spark, monkeypatch):
     for large in (20, 0):  # some owners go by joins, then all
         monkeypatch.setattr(R, "LARGE", large)
         assert found() == by_owner
+
+
+def test_very_long_numbers(spark):
+    e = spark.createDataFrame([(1, 51234, "red ring", 1), (1, 61235, "old bolt", 2)], "owner long, entity long, name string, at long")
+    m = spark.createDataFrame([(1, 1, "9" * 5000), (2, 1, "0" * 5000 + "51234"), (3, 1, "7" * 30 + " the bolt")], "mention long, owner long, text string")
+    assert {tuple(r) for r in R.resolve(m, e).collect()} == {(1, "ask", None), (2, "id", 51234), (3, "words", 61235)}
